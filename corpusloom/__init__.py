@@ -1,3 +1,12 @@
-"""corpusloom: a knowledge-corpus analytics engine expressed as Spark DataFrames."""
+"""corpusloom: a knowledge-corpus analytics engine expressed as Spark DataFrames.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
