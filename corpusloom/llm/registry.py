@@ -1,8 +1,8 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from corpusloom.llm import html_extract, mixing, quality_rules, secret_scan, sharding
+from corpusloom.llm import html_extract, mixing, quality_rules, secret_scan, sharding, topk_search, warc
 
-_MODULES = (html_extract, secret_scan, mixing, quality_rules, sharding)
+_MODULES = (html_extract, secret_scan, mixing, quality_rules, warc, topk_search, sharding)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
