@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import SPACES, lookup, staged, table
+from corpusloom.llm.common import SPACES, lookup, staged, table, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     pieces: up to two ranges of words [start, end) taken once more.
     """
     rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    slim = rows if carry else staged(rows, "sizes")
+    slim = staged(rows.select("_k", "_source", "size"), "sizes")
     by_source = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     kind = slim.schema["_source"].dataType.simpleString()
     sources = staged(
@@ -132,15 +132,18 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
         ),
         "sources",
     )
-    placed = lookup(slim, sources, F.col("_source"), "source").withColumn(
-        "shard", F.pmod(F.xxhash64("_k", "size", F.lit(seed)), F.col("n_shards"))
-    )
-    tokens = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_tokens"), F.max("source_quota").alias("source_quota"))
+
+    def placed(some: DataFrame) -> DataFrame:
+        found = lookup(some, sources, F.col("_source"), "source")
+        return found.withColumn("shard", F.pmod(F.xxhash64("_k", "size", F.lit(seed)), F.col("n_shards")))
+
+    tokens = placed(slim).groupBy("src", "shard").agg(F.sum("size").alias("shard_tokens"), F.max("source_quota").alias("source_quota"))
     shards = staged(
         tokens.groupBy("src").applyInPandas(lambda p: plan_shards(p, block), "shard_key bigint, shard_tokens bigint, shard_quota bigint"),
         "shards",
     )
-    full = lookup(placed.withColumn("_at", F.col("src") * F.lit(MAX_SHARDS) + F.col("shard")), shards, F.col("_at"), "shard_key")
+    full = placed(rows if carry else slim)
+    full = lookup(full.withColumn("_at", F.col("src") * F.lit(MAX_SHARDS) + F.col("shard")), shards, F.col("_at"), "shard_key")
     line = Window.partitionBy("_at").orderBy(F.xxhash64("_k", F.lit(seed + 1)), "_k", "size")
     n = F.col("shard_tokens")
     asked = F.least(F.col("shard_quota") * F.lit(block), n * F.lit(MAX_REPEATS))
@@ -165,6 +168,18 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     )
 
 
+def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """The mixed corpus itself: a row for every whole copy, and one with the words of every further piece."""
+    keep = docs.columns
+    held = docs.select(F.col(key).alias("_doc"), F.col(source).alias("_from"), F.col(text).alias("_whole"), F.struct(*[c for c in keep if c != text]).alias("_row"))
+    taken = mix(held, key="_doc", source="_from", text="_whole", carry=("_whole", "_row"))
+    whole = F.struct(F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
+    parts = taken.withColumn("_part", F.explode(F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.col("pieces"))))
+    cut = F.slice(words(F.col("_whole")), (F.col("_part.start") + 1).cast("int"), (F.col("_part.end") - F.col("_part.start")).cast("int"))
+    parts = parts.withColumn("_new", F.when(F.col("_part.start") < 0, F.col("_whole")).otherwise(F.array_join(cut, " ")))
+    return parts.select(*[F.col("_new").alias(c) if c == text else F.char_length("_new").cast(docs.schema[c].dataType).alias(c) if c == chars else F.col(f"_row.{c}") for c in keep])
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -135,9 +135,17 @@ def verdict(rules: list[Rule], m: Measures) -> Column:
 
 
 def judge(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows with `failed_rule`: what the cascade rejects them for, or null. Later rules cost only those that pass."""
+    """The rows with `failed_rule`: what the cascade rejects them for, or null. Later rules cost only those that pass.
+
+    Words and lines are bound inside the one expression, so a filter on it that the optimizer moves
+    down does not split the text anew for every window.
+    """
     ordered = order_rules(docs, rules, text=text)
-    return prepared(docs, text).withColumn("failed_rule", verdict(ordered, _inline())).drop("_text", "_toks", "_lines")
+
+    def of_text(t: Column) -> Column:
+        return let(words(t), lambda toks: let(lines_with_words(t), lambda lines: verdict(ordered, measures(t, toks, lines))))
+
+    return docs.withColumn("failed_rule", let(F.coalesce(F.col(text), F.lit("")), of_text))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
