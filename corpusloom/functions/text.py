@@ -27,3 +27,8 @@ def entity_id(namespace: str, *parts: Column) -> Column:
     """A 26-character id of the parts; null parts count as empty, and parts never run together."""
     texts = [F.concat(F.coalesce(p.cast("string"), F.lit("")), F.lit("\x1f")) for p in parts]
     return F.substring(F.sha2(F.encode(F.concat(F.lit(namespace + "\x1f"), *texts), "UTF-8"), 256), 1, 26)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, whatever the optimizer moves around it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

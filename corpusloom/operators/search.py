@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import TOKEN_BREAK, tokens
+from corpusloom.functions.text import let, tokens
 
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
@@ -56,28 +56,29 @@ def bm25(docs: DataFrame, query: str, *, key: str = "doc_id", text: str = "text"
     phrases = query_phrases(query)
     if not phrases:
         return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    base = docs.select(F.col(key), tokens(F.col(text)).alias("_toks"))
-    base = base.withColumn("_len", F.size("_toks"))
     names = [f"_tf{i}" for i in range(len(phrases))]
     ends_word = bool(re.search(r"\w$", query))
-    counted = base.select(
-        key,
-        "_len",
-        *[
-            phrase_hits(F.col("_toks"), F.col("_len"), p, prefix and ends_word and i == len(phrases) - 1).alias(n)
-            for i, (p, n) in enumerate(zip(phrases, names))
-        ],
-    )
+
+    def counts(toks: Column) -> Column:
+        hits = [phrase_hits(toks, F.size(toks), p, prefix and ends_word and i == len(phrases) - 1).alias(n) for i, (p, n) in enumerate(zip(phrases, names))]
+        return F.struct(F.size(toks).alias("_len"), *hits)
+
+    counted = docs.select(key, let(tokens(F.col(text)), counts).alias("_m"))
     totals = counted.agg(
         F.count(F.lit(1)).alias("_n"),
-        F.avg("_len").alias("_avg"),
-        *[F.sum((F.col(n) > 0).cast("long")).alias(f"_df{i}") for i, n in enumerate(names)],
+        F.avg("_m._len").alias("_avg"),
+        *[F.sum((F.col(f"_m.{n}") > 0).cast("long")).alias(f"_df{i}") for i, n in enumerate(names)],
     )
-    hit = [F.col(n) > 0 for n in names]
-    keep = hit[0]
-    for h in hit[1:]:
-        keep = (keep & h) if mode == "and" else (keep | h)
-    scored = counted.where(keep).join(F.broadcast(totals))
+
+    def keep(m: Column) -> Column:
+        hit = m[names[0]] > 0
+        for n in names[1:]:
+            hit = (hit & (m[n] > 0)) if mode == "and" else (hit | (m[n] > 0))
+        return hit
+
+    # the generator keeps the filter from being moved below, where it would count anew
+    matched = counted.select(key, F.explode(F.filter(F.array("_m"), keep)).alias("_m")).select(key, "_m.*")
+    scored = matched.join(F.broadcast(totals))
     score = F.lit(0.0)
     for i, n in enumerate(names):
         idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
@@ -91,3 +92,25 @@ def bm25(docs: DataFrame, query: str, *, key: str = "doc_id", text: str = "text"
 def top_k(scored: DataFrame, k: int, *, key: str = "doc_id", score: str = "score") -> DataFrame:
     """The k highest scores, ties to the smaller key; planned as TakeOrderedAndProject."""
     return scored.orderBy(F.col(score).desc(), F.col(key).asc()).limit(k)
+
+
+def filtered_search(scored: DataFrame, docs: DataFrame, condition: Column, k: int, *, candidates: int | None = None, key: str = "doc_id") -> DataFrame:
+    """The k best of the candidates that fulfil the condition.
+
+    Filters are applied after the cut to max(5 k, 50) candidates, as the searched engine defines it,
+    so fewer than k rows may come back; candidates=0 filters before the cut.
+    """
+    n = max(5 * k, 50) if candidates is None else candidates
+    pool = top_k(scored, n, key=key) if n else scored
+    return top_k(pool.join(docs.where(condition).select(key), key, "left_semi"), k, key=key)
+
+
+def title_boost(scored: DataFrame, docs: DataFrame, query: str, boost: float, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Scores times `boost` where a query term of over two characters occurs in the first line."""
+    terms = [t for t in dict.fromkeys(re.split(r"[\W_]+", query.lower())) if len(t) > 2]
+    title = F.lower(F.substring_index(F.coalesce(F.col(text), F.lit("")), "\n", 1))
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | title.contains(t)
+    marked = docs.select(key, hit.alias("_hit"))
+    return scored.join(marked, key).select(key, F.when(F.col("_hit"), F.col("score") * boost).otherwise(F.col("score")).alias("score"))
