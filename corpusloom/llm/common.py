@@ -15,7 +15,7 @@ WORD_BREAK = rf"[{SPACES}]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: A side of a join with more rows than this is never broadcast (some tens of MB of keys).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: Pieces that a key's rows are dealt into where the other side is too long to broadcast.
 SALTS = 16
 
@@ -59,17 +59,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != F.lit(""))
 
 
-def lookup(left: DataFrame, right: DataFrame, left_key: Column, right_key: str, how: str = "left", rows: int | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, left_key: Column, right_key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join `right`, unique by `right_key`, to `left`; the key column of `right` goes.
 
     At most BROADCAST_ROWS rows of `right`, counted here, are broadcast. A longer side is repeated
-    SALTS times under salted keys, so that a key that holds much of `left` is dealt to SALTS tasks.
+    `salts` times under salted keys, so that a key that holds much of `left` is dealt to as many
+    tasks; 1 will do where no key can hold much of `left`.
     """
-    rows = right.count() if rows is None else rows
-    if rows <= BROADCAST_ROWS:
+    if right.count() <= BROADCAST_ROWS:
         keyed = right.withColumnRenamed(right_key, "_key")
         return left.join(F.broadcast(keyed), left_key.eqNullSafe(F.col("_key")), how).drop("_key")
-    salted = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).withColumnRenamed(right_key, "_key")
-    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(*[c for c in left.columns]), F.lit(SALTS)).cast("int"))
+    salted = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))).withColumnRenamed(right_key, "_key")
+    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     on = left_key.eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_salt"))
     return dealt.join(salted, on, how).drop("_key", "_salt", "_deal")

@@ -51,7 +51,7 @@ HINTS = frozenset(
 )
 #: First words of a class that speak of boilerplate elsewhere.
 ELSEWHERE = frozenset(("with", "has", "no", "without", "is", "open"))
-KEEP, DROP, HEADINGS_ONLY = 0, 1, 2
+KEEP, DROP, HEADINGS_ONLY, SILENT = 0, 1, 2, 3  # SILENT: dropped within a line, so its text is not even part of one
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-3, 4)]
@@ -128,9 +128,9 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         _, state, region, declared = self._open[-1]
-        if state != DROP:
+        if state in (KEEP, HEADINGS_ONLY):
             if tag in DROPPED or _names_boilerplate(tag, attrs):
-                state = DROP
+                state = DROP if tag in BLOCK else SILENT
             elif tag == "header":
                 state = HEADINGS_ONLY if declared else DROP
         if tag in REGIONS:
@@ -155,7 +155,8 @@ class PageLines(HTMLParser):
             self._heading = False
 
     def handle_data(self, data: str) -> None:
-        self._parts.append(data)
+        if self._open[-1][1] != SILENT:
+            self._parts.append(data)
 
     def close(self) -> None:
         super().close()

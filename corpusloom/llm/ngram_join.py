@@ -337,7 +337,7 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFram
     rows = docs.select("doc_id", node_of(F.col("text")).alias("node"), "text")
     rows = lookup(rows, wanted, F.col("node"), "_wanted", how="inner").where(F.col("doc_id").eqNullSafe(F.col("min_doc")))
     sets = rows.select("node", _word_hashes(F.col("text")).alias("w")).mapInArrow(run, "node binary, shingles binary")
-    return lookup(sets, needed.withColumnRenamed("node", "_node"), F.col("node"), "_node", how="inner")
+    return lookup(sets, needed.withColumnRenamed("node", "_node"), F.col("node"), "_node", how="inner", salts=1)
 
 
 def components(edges: DataFrame) -> DataFrame:

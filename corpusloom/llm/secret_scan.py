@@ -38,7 +38,7 @@ MIN_VALUE = 12
 #: Words after which a token is a candidate, and how many characters may stand between.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "private-key", "credential", "auth_key", "bearer")
 REACH = 32
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_][A-Za-z0-9+/_=.\-]{15,}")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
 #: Marginal bytes of a candidate against its length, from which it is reported.
 NOVEL = 0.7
