@@ -70,6 +70,6 @@ def lookup(left: DataFrame, right: DataFrame, left_key: Column, right_key: str,
         keyed = right.withColumnRenamed(right_key, "_key")
         return left.join(F.broadcast(keyed), left_key.eqNullSafe(F.col("_key")), how).drop("_key")
     salted = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))).withColumnRenamed(right_key, "_key")
-    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    dealt = left.withColumn("_deal", F.pmod(F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t and "variant" not in t]), F.lit(salts)).cast("int"))
     on = left_key.eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_salt"))
     return dealt.join(salted, on, how).drop("_key", "_salt", "_deal")

@@ -3,9 +3,10 @@
 The standard library's parser streams events; block boundaries cut the page into lines, each with
 its text and the number of tags met since the line before. The ratio of characters to tags of each
 line is smoothed along the page with a Gaussian, two-means clustering of the smoothed ratios gives
-a threshold, and whole regions (not single lines) are kept where the text-weighted ratio reaches
-it, so a short paragraph inside the article stays. Markup that names itself boilerplate never takes
-part; an <article> or <main>, where the page has one, bounds the candidates.
+a threshold, and the smallest region that holds nearly all text above it is the main one. A line of
+that region goes only if it lies below the threshold and is mostly links, so a short paragraph
+inside the article stays. Markup that names itself boilerplate never takes
+part; an <article> or <main> with text above the threshold is the main region, whole.
 
 Defined results: null or empty html gives the empty text; broken or cut markup is read as far as it
 goes; a null page_id or url is passed on; repeated rows give repeated rows; columns other than
@@ -52,6 +53,8 @@ HINTS = frozenset(
 #: First words of a class that speak of boilerplate elsewhere.
 ELSEWHERE = frozenset(("with", "has", "no", "without", "is", "open"))
 KEEP, DROP, HEADINGS_ONLY, SILENT = 0, 1, 2, 3  # SILENT: dropped within a line, so its text is not even part of one
+#: Share of the dense text that the main region holds.
+MOST = 0.85
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-3, 4)]
@@ -76,24 +79,26 @@ def _names_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class PageLines(HTMLParser):
-    """Collects the lines of a page: [text, tags before it, state, region, declared region, is a heading]."""
+    """Collects the lines of a page: (text, tags before it, state, region, declared region, is a heading, linked characters)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool, int]] = []
+        self.parents = [0]
         self._open: list[tuple[str, int, int, int]] = [("", KEEP, 0, 0)]
         self._parts: list[str] = []
         self._tags = 0
         self._heading = False
-        self._regions = 0
+        self._linked = self._links = 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self._parts).split()) if self._parts else ""
         if text:
             _, state, region, declared = self._open[-1]
-            self.lines.append((text, self._tags, state, region, declared, self._heading))
+            self.lines.append((text, self._tags, state, region, declared, self._heading, self._linked))
             self._tags = 0
         self._parts = []
+        self._linked = 0
 
     def _close(self, names: tuple[str, ...], fences: frozenset[str]) -> None:
         """Close the innermost open element of these names unless an element of `fences` stands above it."""
@@ -112,6 +117,7 @@ class PageLines(HTMLParser):
             return
         if tag in BLOCK:
             self._flush()
+            self._links = 0
             if tag == "li":
                 self._close(("li",), frozenset(("ul", "ol", "menu")) | REGIONS)
             elif tag in ("td", "th"):
@@ -127,6 +133,8 @@ class PageLines(HTMLParser):
             self._heading = tag in HEADINGS
         if tag in VOID:
             return
+        if tag == "a":
+            self._links = 1
         _, state, region, declared = self._open[-1]
         if state in (KEEP, HEADINGS_ONLY):
             if tag in DROPPED or _names_boilerplate(tag, attrs):
@@ -134,8 +142,8 @@ class PageLines(HTMLParser):
             elif tag == "header":
                 state = HEADINGS_ONLY if declared else DROP
         if tag in REGIONS:
-            self._regions += 1
-            region = self._regions
+            self.parents.append(region)
+            region = len(self.parents) - 1
             role = next((v for n, v in attrs if n == "role"), None) if attrs else None
             if not declared and (tag in ("article", "main") or role in ("main", "article")):
                 declared = region
@@ -150,6 +158,8 @@ class PageLines(HTMLParser):
             self._flush()
         if tag == "br":
             self._parts.append(" ")
+        elif tag == "a":
+            self._links = 0
         self._close((tag,), frozenset() if tag in REGIONS or tag in DROPPED or tag in ("html", "header", "table") else REGIONS)
         if tag in HEADINGS:
             self._heading = False
@@ -157,6 +167,8 @@ class PageLines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._open[-1][1] != SILENT:
             self._parts.append(data)
+            if self._links:
+                self._linked += len(data)
 
     def close(self) -> None:
         super().close()
@@ -204,27 +216,39 @@ def main_text(html: str | None) -> str:
         return ""
     smooth = _smoothed([math.log1p(len(x[0]) / max(1, x[1])) for x in lines])
     cut = _threshold(smooth)
-    if any(lines[i][4] for i in live):
-        live = [i for i in live if lines[i][4]]
-        region = {i: lines[i][4] for i in live}
-    else:
-        region = {i: lines[i][3] for i in live}
-    mass: dict[int, float] = {}
-    size: dict[int, int] = {}
-    for i in live:
-        r, n = region[i], len(lines[i][0])
-        mass[r] = mass.get(r, 0.0) + n * smooth[i]
-        size[r] = size.get(r, 0) + n
-    best = max(mass, key=lambda r: (mass[r], -r))
-    kept = {r for r in mass if r == best or mass[r] / size[r] >= cut}
-    chosen = [i for i in live if region[i] in kept]
-    heads, at = [], set(chosen)
-    for i in live:
-        if lines[i][5] and i not in at and any(j in at for j in range(i + 1, min(i + 3, len(lines)))):
-            heads.append(i)
+    declared = [i for i in live if lines[i][4]]
+    dense = [i for i in declared or live if smooth[i] >= cut] or declared or live
+    if declared:
+        # an article that says so is whole; of several, those with dense text count
+        roots = {lines[i][4] for i in dense}
+        return "\n".join(lines[i][0] for i in declared if lines[i][4] in roots)
+    top = _region_of(dense, lines, page.parents)
+    inside = [i for i in live if top in _chain(lines[i][3], page.parents)]
+    chosen = [i for i in inside if smooth[i] >= cut or lines[i][6] * 2 <= len(lines[i][0])]
+    at = set(chosen)
+    heads = [i for i in live if lines[i][5] and i not in at and any(j in at for j in range(i + 1, min(i + 3, len(lines))))]
     return "\n".join(lines[i][0] for i in sorted(chosen + heads))
 
 
+def _chain(region: int, parents: list[int]) -> list[int]:
+    """A region and all that hold it, outermost first."""
+    out = [region]
+    while region:
+        region = parents[region]
+        out.append(region)
+    return out[::-1]
+
+
+def _region_of(dense: list[int], lines: list[tuple], parents: list[int]) -> int:
+    """The smallest region that holds nearly all of the text of the dense lines."""
+    mass: dict[int, int] = {}
+    for i in dense:
+        for r in _chain(lines[i][3], parents):
+            mass[r] = mass.get(r, 0) + len(lines[i][0])
+    # an inner region has a greater number than those that hold it
+    return max(r for r, m in mass.items() if m >= MOST * mass[0])
+
+
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Main text of every page: key, url, text and n_chars (code points). One narrow pass, no shuffle."""
     rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"))

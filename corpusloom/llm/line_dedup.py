@@ -11,7 +11,7 @@ Chunk hashes are counted with map-side combining; text moves only for chunks who
 
 Defined results: a null text has no lines and stays null; texts without a repeated chunk stay as they
 are; rows of one key count as one document, all null keys as one; a document whose lines all went
-has the empty text; extra columns pass through.
+has the empty text; extra columns pass through, but for n_lines and n_removed_lines, which are made anew.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def occurrences(rows: DataFrame, key: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with repeated chunks taken out of `text`, and n_lines and n_removed_lines."""
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     rows = with_chunks(docs, key, text)
     every = occurrences(rows.select(F.col(key), "_th", "_lines", "_starts"), key)
     repeated = every.groupBy("h").agg(F.min("_k").alias("_keeper"), F.count(F.lit(1)).alias("_n"))
