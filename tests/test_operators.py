@@ -88,3 +88,11 @@ def test_stream_of_revisions(spark, tmp_path):
     assert day.exception() is None and spark.table("days").columns == ["since", "until", "op", "revisions"]
     batch = changes_per_window(events).agg(F.sum("revisions")).first()[0]
     assert batch == events.count() == spark.table("changes").count()
+
+
+def test_hash_embedding_is_a_unit_vector_of_words():
+    a, b, c = X.embedded("retrieval quality"), X.embedded("Retrieval, quality!"), X.embedded("zebra")
+    assert a == b and abs(sum(v * v for v in a) - 1) < 1e-12 and a != c
+    assert X.embedded(None) == X.embedded(" ! ") == [0.0] * X.DIMENSIONS
+    weight = X.embedded("ab ab ab")
+    assert max(map(abs, weight)) <= 1
