@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash
 
-#: Names of folders that are never entered.
-EXCLUDED = (".git", ".forge", ".obsidian", ".trash", ".venv", "node_modules", "__pycache__", "dist", "build")
+#: Names of folders that are never entered, besides all dotted ones.
+EXCLUDED = ("engine", "tests", "scripts", "config", "docker", "node_modules", "__pycache__")
 
 
 def scan(spark: SparkSession, folder: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:

@@ -7,7 +7,7 @@ from corpusloom.sources import vault as V
 
 @pytest.fixture()
 def folder(tmp_path):
-    for name, text in {"A/x.md": "# X\r\nbody", "A/B/y.MD": "y", ".git/z.md": "no", "A/.hidden/h.md": "no", "doc.pdf": "%PDF", "pic.png": "p"}.items():
+    for name, text in {"A/x.md": "# X\r\nbody", "A/B/y.MD": "y", ".git/z.md": "no", "A/.hidden/h.md": "no", "A/scripts/s.md": "no", "doc.pdf": "%PDF", "pic.png": "p"}.items():
         f = tmp_path / "vault" / name
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(text)
