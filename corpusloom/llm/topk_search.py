@@ -36,6 +36,8 @@ QUERY_BLOCK = 4096
 DIM_BLOCK = 8
 #: Candidates that a task holds at once.
 CHUNK = 4096
+#: Rows of a task's first chunk, which is scored whole and gives the bounds for the rest.
+FIRST_CHUNK = 256
 
 
 class Best:
@@ -107,6 +109,17 @@ def _matrix(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[rows], columns.astype(np.int64 if big else np.float64)
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in chunks, the first one short: without a k-th best score yet, no bound discards anything."""
+    size = FIRST_CHUNK
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            yield b.slice(at, size)
+            at += size
+            size = CHUNK
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, *, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """The k best other rows of `vectors` for every row of `queries`: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -126,19 +139,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, *, key: str = "vec
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             held = sent.value
             best = {n: [Best(k) for _ in ids] for n, (ids, _) in held.items()}
-            for b in batches:
-                for at in range(0, b.num_rows, CHUNK):
-                    for ids, columns in _matrix(b.slice(at, CHUNK)):
-                        n = columns.shape[0]
-                        if n not in held:
-                            continue
-                        q_ids, q = held[n]
-                        if columns.dtype == np.float64 and q.size and float(np.abs(q).max()) * float(np.abs(columns).max(initial=0)) * max(1, n) >= 2**53:
-                            columns = columns.astype(np.int64)
-                        q = q.astype(columns.dtype)
-                        norms = remaining_norms(columns)
-                        for i, q_id in enumerate(q_ids):
-                            search_chunk(q[i], int(q_id), columns, ids, norms, best[n][i])
+            for part in chunks(batches):
+                for ids, columns in _matrix(part):
+                    n = columns.shape[0]
+                    if n not in held:
+                        continue
+                    q_ids, q = held[n]
+                    if columns.dtype == np.float64 and q.size and float(np.abs(q).max()) * float(np.abs(columns).max(initial=0)) * max(1, n) >= 2**53:
+                        columns = columns.astype(np.int64)
+                    q = q.astype(columns.dtype)
+                    norms = remaining_norms(columns)
+                    for i, q_id in enumerate(q_ids):
+                        search_chunk(q[i], int(q_id), columns, ids, norms, best[n][i])
             for n, (q_ids, _) in held.items():
                 for q_id, x in zip(q_ids, best[n]):
                     if len(x.ids):

@@ -240,6 +240,15 @@ def test_branch_and_bound_is_exact_and_prunes():
     assert best.ids.tolist() == [i for _, i in want] and touched < 0.6 * 64 * 2500
 
 
+def test_first_chunk_of_a_task_is_short():
+    import pyarrow as pa
+
+    rows = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (100, 9000)]
+    sizes = [b.num_rows for b in topk_search.chunks(iter(rows))]
+    assert sizes == [100, 4096, 4096, 808] and sum(sizes) == 9100
+    assert [b.num_rows for b in topk_search.chunks(iter(rows[1:]))] == [256, 4096, 4096, 552]
+
+
 # -- sharding
 
 
