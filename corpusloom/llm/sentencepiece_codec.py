@@ -23,6 +23,7 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,7 @@ class Codec:
 
     def __init__(self, pieces: list[tuple[str, float, int]], scores: list[float]) -> None:
         self.scores = scores
+        self.cache: dict[str, list[int]] = {}  # of a worker, over all its tasks
         self.trie = DoubleArrayTrie({p.replace(MARKER, " ").encode(): i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER_DEFINED, UNUSED) and p})
         self.bytes_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), -1)
@@ -261,21 +263,22 @@ class Codec:
         if self.units is None:
             return [self.best(" " + t) if t else [] for t in texts]
         split = [self.units.findall(" " + t) if t else [] for t in texts]
-        new = list({u for units in split for u in units if u not in cache})
+        here = set().union(*split)
+        new = here - cache.keys()
         if len(cache) + len(new) > CACHE_WORDS:
+            # what these texts use stays, so frequent words are never segmented anew
+            kept = {u: cache[u] for u in here & cache.keys()}
             cache.clear()
-            new = list({u for units in split for u in units})
+            cache.update(kept)
         short = sorted((u for u in new if len(u) <= SHORT), key=len)
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
             cache.update(zip(part, self.best_many(part)))
-        own = {u: self.best(u) for u in new if len(u) > SHORT}
-        out = []
-        for units in split:
-            ids: list[int] = []
-            for u in units:
-                ids += cache[u] if u in cache else own[u]
-            out.append(ids)
+        long = [u for u in new if len(u) > SHORT]
+        cache.update((u, self.best(u)) for u in long)
+        out = [list(chain.from_iterable(map(cache.__getitem__, units))) for units in split]
+        for u in long:
+            del cache[u]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -297,7 +300,8 @@ def _run(docs: DataFrame, codec: Codec, key: str, text: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(codec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, cache = sent.value, {}
+        c = sent.value
+        cache = c.cache
         low, high = (min(c.bytes_ids.values()), max(c.bytes_ids.values())) if c.bytes_ids else (0, -1)
         for b in batches:
             for at in range(0, b.num_rows, 512):
