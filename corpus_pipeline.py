@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import SPACE_CHARS, staged, table
-from corpusloom.llm.line_dedup import dedup_lines
+from corpusloom.llm.line_dedup import dedup_passages
 from corpusloom.llm.mixing import mixed_documents
 from corpusloom.llm.ngram_join import one_of_each_class
 from corpusloom.llm.quality_rules import judge
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the chunks of lines that came before; what has no word left was all repeats and goes."""
-    out = dedup_lines(docs)
+    """Texts without the chunks of lines and the passages of over 50 words that came before; what has no word left was all repeats and goes."""
+    out = dedup_passages(docs)
     left = (F.col("n_removed_lines") == 0) | (F.translate("text", SPACE_CHARS, "") != "")
     size = F.when(F.col("n_removed_lines") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast("bigint"))
     return out.where(left).withColumn("n_chars", size).select(*docs.columns)

@@ -9,6 +9,14 @@ only if its bytes equal those of the first occurrence.
 
 Chunk hashes are counted with map-side combining; text moves only for chunks whose hash repeats.
 
+These chunks are the law that the SQL of op10 states. A shared passage whose ends lie inside chunks
+is lost to them, so dedup_passages compares, besides the chunks, the shortest run of lines of more
+than PASSAGE_WORDS words from each line on and up to each line. Two equal passages of more words have
+the same such runs, and these cover them from the first to the last line that has a word; each run
+is itself a passage of that length, so nothing else goes. A SHA-256 over the lines' SHA-256 stands
+for the bytes of a run. Runs are compared by key, then hash of the text, then place; null keys come last.
+Where a run overlaps its own first occurrence, the lines of that stay.
+
 Defined results: a null text has no lines and stays null; texts without a repeated chunk stay as they
 are; rows of one key count as one document, all null keys as one; a document whose lines all went
 has the empty text; extra columns pass through, but for n_lines and n_removed_lines, which are made anew.
@@ -19,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE_CHARS, lookup, staged, table
+from corpusloom.llm.common import SPACE_CHARS, lookup, staged, table, words
 
 MIN_LINES = 2
+#: A passage of more words than this goes wherever the boundaries of chunks fall.
+PASSAGE_WORDS = 50
 
 
 def chunk_starts(lines: Column) -> Column:
@@ -91,11 +101,98 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _reach(counts: Column) -> Column:
+    """For each count: how many from it on add up to more than PASSAGE_WORDS, or 0 where all do not. Counts are 1 at least."""
+    one = 1 << 32
+
+    def of(_: Column, i: Column) -> Column:
+        more = lambda a, c: F.when(a % one > PASSAGE_WORDS, a).otherwise(a + c + F.lit(one))
+        total = F.aggregate(F.slice(counts, i + 1, PASSAGE_WORDS + 1), F.lit(0).cast("bigint"), more)
+        return _bound(total, lambda t: F.when(t % one > PASSAGE_WORDS, F.floor(t / one).cast("int")).otherwise(0))
+
+    return F.transform(counts, of)
+
+
+def _run(start: Column, n: Column) -> Column:
+    return F.struct(start.cast("int").alias("s"), n.cast("int").alias("n"))
+
+
+def passage_runs(lines: Column) -> Column:
+    """Start and length of the shortest runs of more than PASSAGE_WORDS words from each line on and up to each line."""
+
+    def runs(counts: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(counts) - 1), lambda i: F.get(counts, i) > 0)
+        return _bound(places, lambda p: _bound(F.filter(counts, lambda c: c > 0), lambda c: both(p, c)))
+
+    def both(p: Column, c: Column) -> Column:
+        last = F.size(c) - 1
+        on = F.transform(_reach(c), lambda k, i: F.when(k > 0, _run(F.get(p, i), F.get(p, i + k - 1) - F.get(p, i) + 1)))
+        back = F.transform(_reach(F.reverse(c)), lambda k, i: F.when(k > 0, _run(F.get(p, last - i - k + 1), F.get(p, last - i) - F.get(p, last - i - k + 1) + 1)))
+        return F.filter(F.array_union(on, back), lambda r: r.isNotNull())
+
+    return _bound(F.transform(lines, lambda x: F.size(words(x))), runs)
+
+
+def _signed_runs(rows: DataFrame, key: str) -> DataFrame:
+    """One row per chunk or run of a passage: _k, _th, s (first line), n (lines), sig."""
+
+    def chunk(s: Column, j: Column) -> Column:
+        return _run(s, F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_lines")) - s)
+
+    def worded(r: Column) -> Column:
+        return (r["n"] >= MIN_LINES) & F.exists(F.slice(F.col("_lines"), r["s"] + 1, r["n"]), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+
+    def signed(hashes: Column) -> Column:
+        sig = lambda r: F.unhex(F.sha2(F.array_join(F.slice(hashes, r["s"] + 1, r["n"]), ""), 256))
+        runs = F.array_union(F.filter(F.transform("_starts", chunk), worded), passage_runs(F.col("_lines")))
+        return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n"), sig(r).alias("sig")))
+
+    made = _bound(F.transform("_lines", lambda x: F.sha2(x, 256)), signed)
+    return rows.select(F.col(key).alias("_k"), "_th", F.explode(made).alias("c")).select("_k", "_th", "c.s", "c.n", "c.sig")
+
+
+def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows without repeated chunks and repeated passages of over PASSAGE_WORDS words in `text`, and n_lines and n_removed_lines."""
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    rows = with_chunks(docs, key, text)
+    every = staged(_signed_runs(rows.select(F.col(key), "_th", "_lines", "_starts"), key), "runs")
+    place = F.struct(F.col("_k").isNull().alias("last"), F.col("_k").alias("k"), F.col("_th").alias("th"), F.col("s").alias("s"))
+    firsts = every.groupBy("sig").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    firsts = staged(firsts.where("_n > 1").select(F.col("sig").alias("_sig"), "_first"), "firsts")
+    hits = lookup(every, firsts, F.col("sig"), "_sig", how="inner").where(place != F.col("_first"))
+    # a run that overlaps its own first occurrence leaves the lines of that
+    own = F.col("_k").eqNullSafe(F.col("_first.k")) & (F.col("_th") == F.col("_first.th"))
+    begin = F.when(own, F.greatest(F.col("s"), F.col("_first.s") + F.col("n"))).otherwise(F.col("s"))
+    spans = hits.select("_k", "_th", F.struct(begin.alias("a"), (F.col("s") + F.col("n") - 1).alias("z")).alias("span"))
+    gone = spans.groupBy(F.struct(F.col("_k"), F.col("_th")).alias("_row")).agg(F.collect_set("span").alias("_spans"))
+    joined = lookup(rows, staged(gone, "gone"), F.struct(F.col(key).alias("_k"), F.col("_th")), "_row")
+    out = F.flatten(F.transform("_spans", lambda x: F.sequence(x["a"], x["z"])))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - F.lit(1)), out)
+    left = F.when(F.col("_spans").isNotNull(), F.transform(stay, lambda i: F.get(F.col("_lines"), i)))
+    joined = joined.withColumn("_left", left)
+    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_lines"))
+    return joined.select(
+        *[F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in keep],
+        n.cast("bigint").alias("n_lines"),
+        F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("bigint").alias("n_removed_lines"),
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline does it: chunks and whole passages."""
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op10_line_dedup": op10_line_dedup, "op10_passage_dedup": op10_passage_dedup}
 ORACLES = {
     "op10_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n_lines

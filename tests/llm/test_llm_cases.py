@@ -324,3 +324,67 @@ def test_line_dedup_of_hard_rows(spark, broadcast, monkeypatch):
     assert out[11].n_removed_lines >= 15 and set(out[11].text.split("\n")) >= {two[0], two[1], two[2], two[-1]}
     assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "n_lines", "n_removed_lines"]
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
+
+
+def removed_passages(texts, limit=50):
+    """Lines in any run of over `limit` words that also stands earlier, by comparing every run with every other."""
+    lines = {k: t.split("\n") for k, t in texts.items()}
+    runs, out = {}, {}
+    for k in sorted(lines):
+        ls = lines[k]
+        gone = set()
+        for a in range(len(ls)):
+            for z in range(a + 1, len(ls) + 1):
+                if sum(len(x.split()) for x in ls[a:z]) <= limit or not ls[a].split() or not ls[z - 1].split():
+                    continue
+                first = runs.setdefault(tuple(ls[a:z]), (k, a))
+                if first != (k, a):
+                    gone |= set(range(max(a, first[1] + z - a) if first[0] == k else a, z))
+        out[k] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_whole_passages_go_wherever_they_stand(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    own = iter(range(400, 10**6))
+    few = lambda n: [prose(next(own), 4) for _ in range(n)]
+    short, blank, one = [prose(70 + i, 14) for i in range(4)], [prose(80, 30), "", prose(81, 9), prose(82, 30)], [prose(90, 51)]
+    under = [prose(95, 50)]
+    texts = {}
+    for i, passage in enumerate([short, blank, one, under]):
+        texts |= {10 * i: [*few(3), *passage, *few(2)], 10 * i + 1: [*few(2), *passage, *few(5)], 10 * i + 2: [*few(6), *passage]}
+    texts |= {50: [prose(97, 20)] * 9, 51: [*few(1), *texts[0], *few(1)]}
+    texts = {k: "\n".join(v) for k, v in texts.items()}
+    rows = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id bigint, text string, s string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_passages(rows).collect()}
+    # the chunks of the law may take more, of what repeats in two lines or more
+    want = removed_passages(texts)
+    assert all(set(got[k].split("\n")) <= {*want[k].split("\n"), ""} for k in texts)
+    assert got[50] == "\n".join([prose(97, 20)] * 3)
+    assert got[1] == "\n".join(x for x in texts[1].split("\n") if x not in short) and got[12] == "\n".join(texts[12].split("\n")[:6])
+    assert got[21].count("\n") == 6 and under[0] in got[31] and got[51].count("\n") == 1
+    nulls = spark.createDataFrame([(None, texts[0]), (7, texts[1]), (7, None), (7, texts[1]), (8, "")], "doc_id bigint, text string")
+    kept = line_dedup.dedup_passages(nulls).collect()
+    assert [(r.text, r.n_removed_lines) for r in kept if r.doc_id == 7 and r.text] == [(texts[1], 0)] * 2
+    assert [r.n_removed_lines for r in kept if r.doc_id is None] == [4] and line_dedup.dedup_passages(nulls.where("false")).count() == 0
+
+
+def test_pipeline_drops_a_short_shared_passage(spark):
+    import corpus_pipeline
+
+    passage = "\n".join(prose(500 + i, 14) for i in range(4))
+    texts = ["\n".join([prose(510 + 2 * i, 9), passage, prose(511 + 2 * i, 9)]) for i in range(2)]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, rows, "").collect()}
+    assert got == {0: texts[0], 1: prose(512, 9) + "\n" + prose(513, 9)}
+
+
+def test_passages_of_random_lines_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MIN_LINES", 10**6)
+    r = random.Random(4)
+    pool = [prose(600 + i, n) for i, n in enumerate([1, 3, 9, 20, 25, 30, 51, 60])] + [""]
+    texts = {k: "\n".join(r.choice(pool) for _ in range(r.randint(1, 14))) for k in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {x.doc_id: x.text for x in line_dedup.dedup_passages(rows).collect()} == removed_passages(texts)
