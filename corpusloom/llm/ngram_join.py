@@ -360,7 +360,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts that have a copy or a link: node, class_id, n_links, min_doc, copies. Small beside the corpus."""
+    """Texts that have a copy or a link: node, class_id, n_links, min_doc, copies, label (of the component). Small beside the corpus."""
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     nodes = staged(_nodes(slim), "nodes")
     leaves = staged(_leaves(nodes), "leaves")
@@ -372,7 +372,7 @@ def similar_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     some = staged(some.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "linked")
     least = some.groupBy("label").agg(F.min("min_doc").alias("class_id"))
     out = some.join(least, "label")
-    return staged(out.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "min_doc", "copies"), "classes")
+    return staged(out.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "min_doc", "copies", "label"), "classes")
 
 
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,15 +386,16 @@ def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 def one_of_each_class(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without those of a class but the one of its least key; the columns stay as they are.
 
-    Only texts that have a copy or a link are looked up. Where whole rows repeat (same key and text),
+    A class is a component of texts, as classes of null keys or of one key have the same class_id. Null
+    keys come last, and of several texts of the least key the one of the least node stays. Only texts that have a copy or a link are looked up. Where whole rows repeat (same key and text),
     one of them stays.
     """
     classes = similar_classes(docs, key=key, text=text)
     keep = docs.columns
     rows = docs.withColumn("_node", node_of(F.col(text)))
-    least = classes.where(F.col("min_doc").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_class")).agg(F.min("node").alias("_first"))
-    known = classes.join(least, F.col("class_id").eqNullSafe(F.col("_class"))).select(
-        F.col("node").alias("_known"), (F.col("node") == F.col("_first")).alias("_stays"), "_class", F.col("copies").alias("_copies")
+    least = classes.where(F.col("min_doc").eqNullSafe(F.col("class_id"))).groupBy(F.col("label").alias("_label")).agg(F.min("node").alias("_first"))
+    known = classes.join(least, F.col("label") == F.col("_label")).select(
+        F.col("node").alias("_known"), (F.col("node") == F.col("_first")).alias("_stays"), F.col("class_id").alias("_class"), F.col("copies").alias("_copies")
     )
     joined = lookup(rows, staged(known, "known"), F.col("_node"), "_known")
     fit = F.col("_stays").isNull() | (F.col("_stays") & F.col(key).eqNullSafe(F.col("_class")))

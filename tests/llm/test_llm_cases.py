@@ -299,6 +299,18 @@ def test_join_of_hard_rows(spark):
     assert ngram_join.jaccard_join(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_of_each_class_of_null_and_shared_keys(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    a, b, c, d = (prose(700 + i, 60) for i in range(4))
+    rows = [(None, a), (None, a), (None, b), (None, b + " more"), (7, c), (8, c), (7, d), (9, d), (7, prose(710, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each_class(docs).collect()), key=str)
+    assert [x for x in got if x[1] in (a, c, d, rows[8][1])] == sorted([(None, a), (7, c), (7, d), rows[8]], key=str)
+    assert len(got) == 5 and {x for x in got if x[1].startswith(b)} < {(None, b), (None, b + " more")}
+
+
 def test_components_of_a_long_chain(spark):
     import struct
 
