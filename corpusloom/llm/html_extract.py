@@ -3,7 +3,7 @@
 The standard library's parser streams events; block boundaries cut the page into lines, each with
 its text and the number of tags met since the line before. The ratio of characters to tags of each
 line is smoothed along the page with a Gaussian, two-means clustering of the smoothed ratios gives
-a threshold, and the smallest region that holds nearly all text above it is the main one. A line of
+a threshold, and the smallest region that holds all text above it is the main one. A line of
 that region goes only if it lies below the threshold and is mostly links, so a short paragraph
 inside the article stays. Markup that names itself boilerplate never takes
 part; an <article> or <main> with text above the threshold is the main region, whole.
@@ -53,8 +53,6 @@ HINTS = frozenset(
 #: First words of a class that speak of boilerplate elsewhere.
 ELSEWHERE = frozenset(("with", "has", "no", "without", "is", "open"))
 KEEP, DROP, HEADINGS_ONLY, SILENT = 0, 1, 2, 3  # SILENT: dropped within a line, so its text is not even part of one
-#: Share of the dense text that the main region holds.
-MOST = 0.85
 #: Standard deviation of the smoothing, in lines.
 SIGMA = 1.0
 _KERNEL = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-3, 4)]
@@ -240,13 +238,12 @@ def _chain(region: int, parents: list[int]) -> list[int]:
 
 
 def _region_of(dense: list[int], lines: list[tuple], parents: list[int]) -> int:
-    """The smallest region that holds nearly all of the text of the dense lines."""
-    mass: dict[int, int] = {}
-    for i in dense:
-        for r in _chain(lines[i][3], parents):
-            mass[r] = mass.get(r, 0) + len(lines[i][0])
+    """The smallest region that holds all dense lines."""
+    held = set(_chain(lines[dense[0]][3], parents))
+    for r in {lines[i][3] for i in dense}:
+        held &= set(_chain(r, parents))
     # an inner region has a greater number than those that hold it
-    return max(r for r, m in mass.items() if m >= MOST * mass[0])
+    return max(held)
 
 
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -55,6 +55,12 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_sections_of_any_share_stay():
+    long, short = "long text of the first part " * 40, "the short second part has its own text " * 3
+    page = f"<body><div class='menu'><a>m</a></div><div><section><p>{long}</p></section><section><p>{short}</p><p>end</p></section></div><div class='footer'>f</div></body>"
+    assert html_extract.main_text(page) == f"{long.strip()}\n{short.strip()}\nend"
+
+
 def test_extraction_passes_keys_on(spark):
     rows = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>a</p>", "t"), (1, None, None, "t")], "page_id bigint, url string, html string, text string")
     got = html_extract.extract_main_text(rows).collect()
