@@ -6,7 +6,9 @@ line is smoothed along the page with a Gaussian, two-means clustering of the smo
 a threshold, and the smallest region that holds all text above it is the main one. A line of
 that region goes only if it lies below the threshold and is mostly links, so a short paragraph
 inside the article stays. Markup that names itself boilerplate never takes
-part; an <article> or <main> with text above the threshold is the main region, whole.
+part. The threshold chooses on every page; <article> and <main> are a check on it: a region found
+within one grows to the whole of it, others lose only lines that are mostly links, and below the
+threshold no line outside of them stays.
 
 Defined results: null or empty html gives the empty text; broken or cut markup is read as far as it
 goes; a null page_id or url is passed on; repeated rows give repeated rows; columns other than
@@ -214,15 +216,19 @@ def main_text(html: str | None) -> str:
         return ""
     smooth = _smoothed([math.log1p(len(x[0]) / max(1, x[1])) for x in lines])
     cut = _threshold(smooth)
-    declared = [i for i in live if lines[i][4]]
-    dense = [i for i in declared or live if smooth[i] >= cut] or declared or live
-    if declared:
-        # an article that says so is whole; of several, those with dense text count
-        roots = {lines[i][4] for i in dense}
-        return "\n".join(lines[i][0] for i in declared if lines[i][4] in roots)
+    dense = [i for i in live if smooth[i] >= cut] or live
     top = _region_of(dense, lines, page.parents)
-    inside = [i for i in live if top in _chain(lines[i][3], page.parents)]
-    chosen = [i for i in inside if smooth[i] >= cut or lines[i][6] * 2 <= len(lines[i][0])]
+    # the added check: a region within an article that says so grows to the whole of it
+    declared = {lines[i][4] for i in live} - {0}
+    top = next((r for r in _chain(top, page.parents) if r in declared), top)
+    chosen = []
+    for i in live:
+        inside, linked = top in _chain(lines[i][3], page.parents), lines[i][6] * 2 > len(lines[i][0])
+        if lines[i][4]:
+            if inside or not linked:
+                chosen.append(i)
+        elif inside and (smooth[i] >= cut or not (linked or declared)):
+            chosen.append(i)
     at = set(chosen)
     heads = [i for i in live if lines[i][5] and i not in at and any(j in at for j in range(i + 1, min(i + 3, len(lines))))]
     return "\n".join(lines[i][0] for i in sorted(chosen + heads))

@@ -61,6 +61,14 @@ def test_sections_of_any_share_stay():
     assert html_extract.main_text(page) == f"{long.strip()}\n{short.strip()}\nend"
 
 
+def test_threshold_chooses_where_articles_are_declared():
+    long = "long text of an article " * 40
+    several = f"<body><article><p>{long}1</p></article><article><p>brief</p></article><article><p>{long}2</p></article><article><p>last</p></article></body>"
+    assert html_extract.main_text(several) == f"{long}1\nbrief\n{long}2\nlast"
+    outside = f"<body><div class='menu'><a>m</a></div><article><p>{long}1</p><p>end</p></article><div><p>{long}2</p></div><p>x</p><p>y</p><p>z</p><p>w</p></body>"
+    assert html_extract.main_text(outside) == f"{long}1\nend\n{long}2"
+
+
 def test_extraction_passes_keys_on(spark):
     rows = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>a</p>", "t"), (1, None, None, "t")], "page_id bigint, url string, html string, text string")
     got = html_extract.extract_main_text(rows).collect()
