@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and long hexadecimal runs. Beyond th
 token that follows a word of secrecy is compressed by zstandard primed with a dictionary of
 identifiers and of the text around it: what it adds in bytes, against its length, is its novelty.
 A random string adds almost its own length, a word or identifier that code repeats adds little; a
-candidate whose marginal bytes reach NOVEL of its length is reported as kind "novel".
+candidate whose marginal bytes reach NOVEL of its length is reported as kind "novel", at every place
+of the text where its value occurs. Other occurrences of the candidate do not prime the compressor.
 
 Defined results: null or empty text has no spans and the digest of the empty string; positions are
 code points, the end is exclusive; whole texts are scanned; a null doc_id is passed on; repeated
@@ -40,6 +41,8 @@ SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "
 REACH = 32
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_][A-Za-z0-9+/_=.\-]{15,}")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
+#: Characters of the shortest candidate.
+SHORTEST = 16
 #: Marginal bytes of a candidate against its length, from which it is reported.
 NOVEL = 0.7
 #: Characters of the text on each side of a candidate that prime the compressor.
@@ -76,20 +79,55 @@ def marginal_bytes(candidate: str, before: str, after: str, level: int = 3) -> i
     return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
-def novel_spans(text: str) -> list[tuple[str, int, int, int]]:
-    """Candidates in sensitive context that the primed compressor can't shorten: kind, start, end, bytes."""
-    found, last = [], -1
+def _around(text: str, start: int, end: int) -> tuple[str, str]:
+    """The text before and after a candidate, without other occurrences of it."""
+    value = text[start:end]
+    far, blank = AROUND + len(value), " " * len(value)
+    before, after = text[max(0, start - far) : start], text[end : end + far]
+    return before.replace(value, blank)[-AROUND:], after.replace(value, blank)[:AROUND]
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the tokens that follow a word of secrecy."""
+    last = -1
     for m in CONTEXT.finditer(text):
         c = CANDIDATE.search(text, m.end(), m.end() + REACH + 4096)
         if not c or c.start() > m.end() + REACH or c.start() <= last:
             continue
-        end = CANDIDATE.match(text, c.start()).end()
-        last, value = c.start(), text[c.start() : end]
-        if not re.search(r"[0-9]", value) or not re.search(r"[A-Za-z]", value):
-            continue
-        added = marginal_bytes(value, text[max(0, c.start() - AROUND) : c.start()], text[end : end + AROUND])
-        if added >= NOVEL * len(value):
-            found.append(("novel", c.start(), end, added))
+        last, end = c.start(), CANDIDATE.match(text, c.start()).end()
+        if re.search(r"[0-9]", text[last:end]) and re.search(r"[A-Za-z]", text[last:end]):
+            yield last, end
+
+
+def _trimmed(text: str, start: int, end: int) -> int:
+    """The end of a candidate without the stop of a sentence."""
+    short = start + len(text[start:end].rstrip(".-"))
+    return short if short - start >= SHORTEST else end
+
+
+def novel_spans(text: str) -> list[tuple[str, int, int, int]]:
+    """Values in sensitive context that the primed compressor can't shorten, wherever they occur: kind, start, end, bytes."""
+    novel: dict[str, int] = {}
+    for start, end in candidates(text):
+        end = _trimmed(text, start, end)
+        value = text[start:end]
+        if value not in novel:
+            added = marginal_bytes(value, *_around(text, start, end))
+            if added >= NOVEL * len(value):
+                novel[value] = added
+    if not novel:
+        return []
+    begins: dict[str, list[str]] = {}
+    for value in sorted(novel, key=len, reverse=True):
+        begins.setdefault(value[:SHORTEST], []).append(value)
+    found, last = [], 0
+    for run in CANDIDATE.finditer(text):
+        for i in range(run.start(), run.end() - SHORTEST + 1):
+            value = next((v for v in begins.get(text[i : i + SHORTEST], ()) if text.startswith(v, i)), None)
+            # an occurrence inside a longer value is part of that
+            if value and i + len(value) > last:
+                last = i + len(value)
+                found.append(("novel", i, last, novel[value]))
     return found
 
 

@@ -88,6 +88,12 @@ def test_novelty_finds_what_patterns_miss_and_leaves_words():
     assert secret_scan.base_spans("é Token = 'abcdefghijkl'") == [("assign", 2, 23)]
 
 
+def test_repeated_secret_is_found_at_every_place():
+    value = "wJalrXUtnFEMI9K7MDENG2bPxRfiCYq"
+    text = f"- the secret is {value}\n+ the secret is {value} now\nnothing\n{value}."
+    assert [text[a:b] for _, a, b, _ in secret_scan.novel_spans(text)] == [value] * 3
+
+
 def test_secret_scan_of_hard_rows(spark):
     got = secret_scan.find_secrets(documents(spark, ["x" * 100000 + " passwd=0123456789abcdef0"])).collect()
     assert len(got) == 12 and {s.kind for r in got for s in r.spans} <= {"assign", "hex", "novel"}
