@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and novelty under a dictionary-primed compressor.
 
 Base patterns find assignments, access keys and long hexadecimal runs. Beyond them, each long
-token that follows a word of secrecy is compressed by zstandard primed with a dictionary of
+token in the line of a word of secrecy, or near it on either side, is compressed by zstandard primed with a dictionary of
 identifiers and of the text around it: what it adds in bytes, against its length, is its novelty.
 A random string adds almost its own length, a word or identifier that code repeats adds little; a
 candidate whose marginal bytes reach NOVEL of its length is reported as kind "novel", at every place
@@ -15,6 +15,7 @@ rows give repeated rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -36,13 +37,21 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE = 12
-#: Words after which a token is a candidate, and how many characters may stand between.
+#: Words near which a token is a candidate: in its line, or with so many characters between on either side.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "private-key", "credential", "auth_key", "bearer")
 REACH = 32
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_][A-Za-z0-9+/_=.\-]{15,}")
 CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
 #: Characters of the shortest candidate.
 SHORTEST = 16
+TOKEN = re.compile(r"[A-Za-z0-9+/_=.\-]")
+#: What may follow or, read backwards, precede a word of secrecy in an identifier; the whole run of its characters.
+REST = re.compile(r"(?:[A-Za-z]{1,15}[0-9]{0,2}(?![A-Za-z0-9]))?(?:[_-]+[A-Za-z]{1,15}[0-9]{0,2}(?![A-Za-z0-9]))*[_-]*")
+NAME = re.compile(r"[A-Za-z0-9_-]*")
+HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\.?")
+HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+#: From so many characters on zstandard codes letters by their frequency.
+CODED = 64
 #: Marginal bytes of a candidate against its length, from which it is reported.
 NOVEL = 0.7
 #: Characters of the text on each side of a candidate that prime the compressor.
@@ -87,16 +96,77 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return before.replace(value, blank)[-AROUND:], after.replace(value, blank)[:AROUND]
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the tokens that follow a word of secrecy."""
-    last = -1
+def identifiers(text: str) -> list[tuple[int, int]]:
+    """Words of secrecy with the rest of the identifier around them, where that is made of words; in order, apart."""
+    found: list[tuple[int, int]] = []
+    last = unfit = 0
     for m in CONTEXT.finditer(text):
-        c = CANDIDATE.search(text, m.end(), m.end() + REACH + 4096)
-        if not c or c.start() > m.end() + REACH or c.start() <= last:
+        if m.start() < last:
+            continue
+        start, end = m.start(), m.end()
+        if end > unfit:
+            rest = REST.match(text, end).end()
+            run = NAME.match(text, end).end()
+            end, unfit = (rest, unfit) if rest == run else (end, run)
+        at = start
+        while at > last and (text[at - 1] in "_-" or text[at - 1].isascii() and text[at - 1].isalnum()):
+            at -= 1
+        if REST.fullmatch(text[at:start][::-1]):
+            start = at
+        found.append((start, end))
+        last = end
+    return found
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every token whose line, or whose REACH characters on either side, hold a word of secrecy."""
+    names = identifiers(text)
+    near: list[list[int]] = []
+    for start, end in names:
+        if near and end <= near[-1][1] - REACH:
             continue
-        last, end = c.start(), CANDIDATE.match(text, c.start()).end()
-        if re.search(r"[0-9]", text[last:end]) and re.search(r"[A-Za-z]", text[last:end]):
-            yield last, end
+        line = text.find("\n", end)
+        a, z = min(text.rfind("\n", 0, start) + 1, start - REACH), max(len(text) if line < 0 else line, end + REACH)
+        if near and a <= near[-1][1]:
+            near[-1][1] = max(near[-1][1], z)
+        else:
+            near.append([max(0, a), z])
+    # a token lies between two identifiers and touches what is near
+    gaps = [(a, z) for (_, a), (z, _) in zip([(0, 0), *names], [*names, (len(text), 0)])]
+    g = 0
+    for first, final in near:
+        while g < len(gaps) and gaps[g][1] <= first:
+            g += 1
+        for low, high in gaps[g:]:
+            if low >= final:
+                break
+            at = max(low, first)
+            while at > low and TOKEN.match(text, at - 1):
+                at -= 1
+            for c in CANDIDATE.finditer(text, at, high):
+                if c.start() >= final:
+                    break
+                # the host of a mail address is no secret
+                mail = c.start() > low and text[c.start() - 1] == "@" and HOST.fullmatch(c.group())
+                if re.search(r"[A-Za-z]", c.group()) and not mail:
+                    yield c.span()
+            g += high < final
+
+
+def least_bytes(value: str) -> float:
+    """The marginal bytes from which a value is novel.
+
+    A long value's letters are entropy coded by zstandard, so one of few kinds of letters costs less
+    a letter however random it is: NOVEL then stands for 64 kinds, the most that a token's letters have.
+    """
+    if len(value) < CODED:
+        return NOVEL * len(value)
+    if HEXADECIMAL.fullmatch(value):
+        kinds = 16
+    else:
+        sets = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        kinds = sum(len(s) for s in sets if not set(s).isdisjoint(value)) + len(set(value) & set("+/_=.-"))
+    return NOVEL * len(value) * min(1.0, math.log2(max(2, kinds)) / 6)
 
 
 def _trimmed(text: str, start: int, end: int) -> int:
@@ -113,7 +183,7 @@ def novel_spans(text: str) -> list[tuple[str, int, int, int]]:
         value = text[start:end]
         if value not in novel:
             added = marginal_bytes(value, *_around(text, start, end))
-            if added >= NOVEL * len(value):
+            if added >= least_bytes(value):
                 novel[value] = added
     if not novel:
         return []

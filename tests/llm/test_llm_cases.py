@@ -94,6 +94,35 @@ def test_repeated_secret_is_found_at_every_place():
     assert [text[a:b] for _, a, b, _ in secret_scan.novel_spans(text)] == [value] * 3
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "aws_secret_access_key_production_main = {}",
+        "{} is the token",
+        "the token of the configuration_parameters_value service, which is used in production by default only, is: {} ok",
+        "token your_api_key_here_1234567 {} x",
+        "my_secret_token\n  {}\n",
+        "token-{}",
+        "first line\n{}, of which a long explanation follows in words, is our password\nlast",
+    ],
+)
+@pytest.mark.parametrize("kind", ["mixed", "letters", "upper hex", "uuid", "lower"])
+def test_every_token_near_a_word_of_secrecy_is_measured(text, kind):
+    r = random.Random(11)
+    made = {"mixed": "wJalrXUtnFEMI9K7MDENG2bPxRfiCYq", "letters": "wJalrXUtnFEMIxKqMDENGzbPxRfiCYq", "uuid": "3f8a9c1b-77de-4a10-9b1c-0123d56789ab"}
+    value = made.get(kind) or "".join(r.choice("0123456789ABCDEF" if kind == "upper hex" else "abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(128))
+    whole = text.format(value)
+    assert [whole[a:b] for _, a, b, _ in secret_scan.novel_spans(whole)] == [value]
+
+
+def test_tokens_of_one_line():
+    value = "wJalrXUtnFEMI9K7MDENG2bPxRfiCYq"
+    assert [b - a for _, a, b, _ in secret_scan.novel_spans(f"token is path/{value} or {value} here")] == [31, 31]
+    assert secret_scan.novel_spans("the token of someone@mail9.example.com") == []
+    assert secret_scan.novel_spans("a line\n" * 20 + value + "\n" * 20 + "x " * 40 + "\ntoken") == []
+    assert secret_scan.novel_spans("token_" * 20000 + "9 " + "secret" * 20000) is not None
+
+
 def test_secret_scan_of_hard_rows(spark):
     got = secret_scan.find_secrets(documents(spark, ["x" * 100000 + " passwd=0123456789abcdef0"])).collect()
     assert len(got) == 12 and {s.kind for r in got for s in r.spans} <= {"assign", "hex", "novel"}
