@@ -7,9 +7,9 @@ will do; RECORDS_PER_FILE bounds the files, and pages above LARGE_BYTES go to fi
 
 Index: archives are read record by record to find offsets; the captures are sorted by reversed-host
 URL key, cut into compressed blocks of BLOCK_LINES lines (level two), and the first key of each
-block goes into a sparse directory (level one). `lookup` binary-searches the directory, then the
-block, then reads only the byte range of the record. Reading everything back walks the blocks:
-their offsets and lengths, gathered per file, say which ranges of each archive to cut out.
+block goes into a sparse directory (level one). `lookup_url` filters the directory, bisects the
+block, then reads only the byte range of the record. Reading everything back, as op5 does, searches
+nothing: it walks all blocks and loads each archive whole. Their offsets and lengths, gathered per file, say which ranges of each archive to cut out.
 
 Defined results: null html is the empty payload; a null url gives a record without target URI and the
 empty key; of rows that share the smallest page_id and a payload all are responses; a null page_id
@@ -68,6 +68,11 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + tail + ")" + path
 
 
+def index_key(url: str | None) -> str:
+    """The key as blocks hold and sort it, without the spaces that separate their fields."""
+    return surt(url).replace(" ", "%20")
+
+
 def typed(pages: DataFrame, *, key: str, url: str, html: str) -> DataFrame:
     """Rows with digest, record type and what a revisit refers to. Only digests of repeated payloads are joined back."""
     payload = F.coalesce(F.col(html), F.lit(""))
@@ -156,7 +161,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 for at, n in records(data):
                     head = bytes(data[at : at + min(n, 65536)]).partition(b"\r\n\r\n")[0].decode("utf-8", "replace")
                     uri = next((x[17:] for x in head.split(CRLF) if x.startswith("WARC-Target-URI: ")), None)
-                    keys.append(surt(uri))
+                    keys.append(index_key(uri))
                     offsets.append(at)
                     lengths.append(n)
                 yield pa.RecordBatch.from_arrays(
@@ -175,7 +180,7 @@ def build_index(spark: SparkSession, path: str, index: str) -> None:
         held: list[tuple[str, str, int, int]] = []
 
         def block() -> pa.RecordBatch:
-            lines = "\n".join(f"{k} {o} {n} {f}" for k, f, o, n in ((k.replace(" ", "%20"), f, o, n) for k, f, o, n in held))
+            lines = "\n".join(f"{k} {o} {n} {f}" for k, f, o, n in held)
             packed = zlib.compress(lines.encode(), 6)
             return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([held[-1][0]]), pa.array([len(held)], pa.int64()), pa.array([packed], pa.binary())], names=["first_key", "last_key", "n", "block"])
 
@@ -244,9 +249,9 @@ def read_range(spark: SparkSession, file: str, offset: int, length: int) -> byte
 
 
 def lookup_url(spark: SparkSession, index: str, url: str) -> list[dict]:
-    """All records of one URL: the directory names the blocks that can hold its key, each is searched by bisection."""
-    key = surt(url).replace(" ", "%20")
-    fit = (F.col("first_key") <= surt(url)) & (F.col("last_key") >= surt(url))
+    """All records of one URL: Spark filters the directory for the blocks that can hold its key, each is searched by bisection."""
+    key = index_key(url)
+    fit = (F.col("first_key") <= key) & (F.col("last_key") >= key)
     firsts = [r[0] for r in spark.read.parquet(f"{index}/directory").where(fit).select("first_key").distinct().collect()]
     if not firsts:
         return []

@@ -203,6 +203,15 @@ def test_archives_of_hard_rows(spark, tmp_path, broadcast, monkeypatch):
     assert warc.lookup_url(spark, index, "http://nowhere.org/") == []
 
 
+def test_lookup_of_keys_with_spaces(spark, tmp_path):
+    urls = ["http://a.org/x y", "http://a.org/x!z", "http://a.org/x", "http://a.org/x$"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id bigint, url string, html string").coalesce(1)
+    path, index = str(tmp_path / "a"), str(tmp_path / "i")
+    warc.write_archives(pages, path)
+    warc.build_index(spark, path, index)
+    assert [[r["page_id"] for r in warc.lookup_url(spark, index, u)] for u in urls] == [[0], [1], [2], [3]]
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com:80/a?b=c#d") == "com,example)/a?b=c" and warc.surt(None) == "" and warc.surt("http://x.org:81") == "org,x:81)/"
 
