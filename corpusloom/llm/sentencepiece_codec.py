@@ -13,7 +13,11 @@ No piece of the usual models has a marker after another character, so the best s
 text is that of its marked words one after another, and words are looked up in a bounded cache; a
 model with such pieces is searched over whole texts.
 
-Defined results: null and empty texts have no ids; without byte pieces an uncovered character is the
+Unused, control and unknown pieces are never emitted. A model that normalises texts is refused.
+
+Defined results: null and empty texts have no ids; a text of any length is coded whole (a word of more than
+SHORT characters by itself, at twelve bytes a byte); an empty table gives no rows; other columns are not
+read, whatever their names; without byte pieces an uncovered character is the
 unknown id and the round trip is false; repeated rows are coded alike; a null key is passed on.
 """
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -75,9 +80,13 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         i += size
 
 
-def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
-    """Pieces (text, score, type) and the model type of a model file."""
-    pieces, model_type = [], UNIGRAM
+def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int, bool]:
+    """Pieces (text, score, type), the model type, and whether a space goes before a text.
+
+    Only models that leave texts as they are otherwise are read: a table of character rules, or the
+    removal of spaces, would change texts before they are coded, so that no round trip could hold.
+    """
+    pieces, model_type, prefix = [], UNIGRAM, True
     for number, value in _fields(data):
         if number == 1:
             piece = dict(_fields(value))
@@ -85,7 +94,12 @@ def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
             pieces.append((piece.get(1, b"").decode("utf-8"), score, piece.get(3, NORMAL)))
         elif number == 2:
             model_type = dict(_fields(value)).get(3, UNIGRAM)
-    return pieces, model_type
+        elif number == 3:
+            rules = dict(_fields(value))
+            if rules.get(2) or rules.get(4, 1):
+                raise ValueError("the model normalises texts; only models of the identity rule that keep spaces are read")
+            prefix = bool(rules.get(3, 1))
+    return pieces, model_type, prefix
 
 
 def log_scores(pieces: list[tuple[str, float, int]], model_type: int) -> list[float]:
@@ -103,11 +117,17 @@ class DoubleArrayTrie:
     A key ends at node s if t = base[s] has check[t] == s; its value is -base[t] - 1.
     """
 
-    def __init__(self, items: dict[bytes, int]) -> None:
+    def __init__(self, base: np.ndarray, check: np.ndarray) -> None:
+        self.base_array, self.check_array = base, check
+        self.base, self.check = base.tolist(), check.tolist()
+
+    @classmethod
+    def of(cls, items: dict[bytes, int]) -> "DoubleArrayTrie":
+        """The trie of these keys and values."""
         keys = sorted(items)
         size = 1 << 16
-        self.base, self.check = [0] * size, [-1] * size
-        self.check[0] = 0  # the root
+        bases, checks = [0] * size, [-1] * size
+        checks[0] = 0  # the root
         free = 1
         todo = [(0, 0, len(keys), 0)]
         while todo:
@@ -123,33 +143,34 @@ class DoubleArrayTrie:
                 i = j
             at = max(1, free - codes[0][0])
             while True:
-                if at + 258 > len(self.base):
-                    self.base += [0] * len(self.base)
-                    self.check += [-1] * (len(self.base) - len(self.check))
-                if all(self.check[at + c] < 0 for c, _, _ in codes):
+                if at + 258 > len(bases):
+                    bases += [0] * len(bases)
+                    checks += [-1] * (len(bases) - len(checks))
+                if all(checks[at + c] < 0 for c, _, _ in codes):
                     break
                 at += 1
-            self.base[node] = at
+            bases[node] = at
             for c, i, j in codes:
-                self.check[at + c] = node
+                checks[at + c] = node
                 if c == 0:
-                    self.base[at] = -items[keys[i]] - 1
+                    bases[at] = -items[keys[i]] - 1
                 else:
                     todo.append((at + c, i, j, depth + 1))
-            while self.check[free] >= 0:
+            while checks[free] >= 0:
                 free += 1
         pad = 512  # a step from any node stays inside
-        self.base_array = np.array(self.base + [0] * pad, dtype=np.int32)
-        self.check_array = np.array(self.check + [-1] * pad, dtype=np.int32)
+        return cls(np.array(bases + [0] * pad, dtype=np.int32), np.array(checks + [-1] * pad, dtype=np.int32))
 
 
 class Codec:
-    """Encoder and decoder of one model."""
+    """Encoder and decoder of one model: its pieces (text, score, type), their log scores, the trie, and what goes before a text."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], scores: list[float]) -> None:
-        self.scores = scores
+    def __init__(self, pieces: list[tuple[str, float, int]], scores: list[float], trie: DoubleArrayTrie | None = None, prefix: bool = True) -> None:
+        self.pieces, self.scores = pieces, scores
+        self.prefix = " " if prefix else ""
         self.cache: dict[str, list[int]] = {}  # of a worker, over all its tasks
-        self.trie = DoubleArrayTrie({p.replace(MARKER, " ").encode(): i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER_DEFINED, UNUSED) and p})
+        coded = {p.replace(MARKER, " ").encode(): i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER_DEFINED) and p}
+        self.trie = trie or DoubleArrayTrie.of(coded)
         self.bytes_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), -1)
         plain = [s for s, (_, _, t) in zip(scores, pieces) if t == NORMAL]
@@ -157,17 +178,28 @@ class Codec:
         self.spelled = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARKER, " ").encode() for p, _, t in pieces
         ]
-        texts = [p for p, _, t in pieces if t not in (BYTE, CONTROL, UNKNOWN)]
+        texts = [p for p, _, t in pieces if t in (NORMAL, USER_DEFINED)]
         crossing = any(re.search(f"[^{MARKER}]{MARKER}", p) for p in texts)
         lonely = not any("\n" in p for p in texts)
         self.units = None if crossing else re.compile(" *[^ \n]+| +|\n" if lonely else " *[^ ]+| +")
 
+    def arrays(self) -> dict:
+        """What a worker needs to make the codec again: plain lists and arrays, which need no class of this library to be read."""
+        return {"pieces": self.pieces, "scores": self.scores, "base": self.trie.base_array, "check": self.trie.check_array, "prefix": bool(self.prefix)}
+
+    @classmethod
+    def again(cls, held: dict) -> "Codec":
+        """The codec of these arrays, made once in a worker and kept beside them."""
+        if "codec" not in held:
+            held["codec"] = cls(held["pieces"], held["scores"], DoubleArrayTrie(held["base"], held["check"]), held["prefix"])
+        return held["codec"]
+
     def best(self, text: str) -> list[int]:
-        """Ids of the segmentation of the highest total score, ties to the later start."""
+        """Ids of the segmentation of the highest total score; of equal ones that whose last piece, then the one before it, is longest."""
         data, base, check, scores = text.encode("utf-8", "surrogatepass"), self.trie.base, self.trie.check, self.scores
-        n, size = len(data), len(self.trie.base)
-        total = [-math.inf] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        n, size, spelled = len(data), len(self.trie.base), self.spelled
+        # twelve bytes for each byte of the text: where a piece ends says where it starts
+        total, last = array("d", [-math.inf]) * (n + 1), array("i", [-1]) * (n + 1)
         total[0] = 0.0
         i = 0
         while i < n:
@@ -184,20 +216,26 @@ class Codec:
                     piece = -base[end] - 1
                     s = so_far + scores[piece]
                     if s > total[j]:
-                        total[j], back[j] = s, (i, piece)
+                        total[j], last[j] = s, piece
                     whole = whole or j == i + width
             if not whole:
                 s = so_far + self.unknown_score
                 if s > total[i + width]:
-                    total[i + width], back[i + width] = s, (i, -1)
+                    total[i + width], last[i + width] = s, -1
             i += width
         out: list[int] = []
         at = n
         while at:
-            start, piece = back[at]
+            piece, start = last[at], at
             if piece >= 0:
+                start -= len(spelled[piece])
                 out.append(piece)
-            elif self.bytes_ids:
+                at = start
+                continue
+            start -= 1
+            while data[start] & 0xC0 == 0x80:
+                start -= 1
+            if self.bytes_ids:
                 out.extend(self.bytes_ids[b] for b in reversed(data[start:at]))
             else:
                 out.append(self.unknown)
@@ -261,8 +299,8 @@ class Codec:
     def encode(self, texts: list[str], cache: dict[str, list[int]]) -> list[list[int]]:
         """Ids of each text; units that the cache lacks are segmented together."""
         if self.units is None:
-            return [self.best(" " + t) if t else [] for t in texts]
-        split = [self.units.findall(" " + t) if t else [] for t in texts]
+            return [self.best(self.prefix + t) if t else [] for t in texts]
+        split = [self.units.findall(self.prefix + t) if t else [] for t in texts]
         here = set().union(*split)
         new = here - cache.keys()
         if len(cache) + len(new) > CACHE_WORDS:
@@ -284,23 +322,23 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         spelled = self.spelled
         text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def load(path: str = MODEL) -> Codec:
     """The codec of a model file on the driver."""
     with open(path, "rb") as f:
-        pieces, model_type = read_model(f.read())
-    return Codec(pieces, log_scores(pieces, model_type))
+        pieces, model_type, prefix = read_model(f.read())
+    return Codec(pieces, log_scores(pieces, model_type), prefix=prefix)
 
 
 def _run(docs: DataFrame, codec: Codec, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(codec)
+    sent = docs.sparkSession.sparkContext.broadcast(codec.arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
+        c = Codec.again(sent.value)
         cache = c.cache
         low, high = (min(c.bytes_ids.values()), max(c.bytes_ids.values())) if c.bytes_ids else (0, -1)
         for b in batches:
@@ -327,14 +365,14 @@ def encode(docs: DataFrame, model: str = MODEL, *, key: str = "doc_id", text: st
 
 def decode(coded: DataFrame, model: str = MODEL, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Texts of id lists: key, text; null ids give the empty text."""
-    codec = load(model)
-    sent = coded.sparkSession.sparkContext.broadcast(codec)
+    sent = coded.sparkSession.sparkContext.broadcast(load(model).arrays())
     rows = coded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
     kind = rows.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.again(sent.value)
         for b in batches:
-            texts = [sent.value.decode(x or []) for x in b.column(1).to_pylist()]
+            texts = [codec.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["_key", "text"])
 
     return rows.mapInArrow(run, f"_key {kind}, text string").withColumnRenamed("_key", key)
