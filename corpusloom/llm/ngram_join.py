@@ -1,17 +1,23 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is the set of its word shingles. A run sends every set down a path: at each level it
-follows the one shingle that a seeded hash samples from it (its least value), so two sets stay
-together with a probability equal to their similarity, and unrelated ones part at once. A node of
-the path that holds at most MEMBERS sets (and SHINGLES shingles) is compared by brute force; a larger
-one is split at the next level; what is still large after LEVELS levels is a true crowd and is compared
-block against block. Runs are repeated until the chance to miss a pair at the threshold, even one
-that is split at every level, is below 1 - TARGET_RECALL.
+A document is the set of its word shingles, and KEYS seeded hashes sample a token each from it (the
+shingle of least value), on which two sets agree with a probability equal to their similarity. A run
+starts from the token of one hash. A node of the recursion that holds at most MEMBERS sets (and
+SHINGLES shingles) is compared by brute force; a larger one draws, from a seed of its own, one
+hash or two (1 / similarity on average), and every set goes down to the child of each of its
+tokens there, so a pair at the threshold meets in one child on average while unrelated ones part.
+Runs are repeated until the chance to miss a pair at the threshold, even one that is split at every
+level, is below 1 - TARGET_RECALL by the extinction of that branching.
+
+What is still large after LEVELS levels is a true crowd. Its least node is a star; members within half the
+allowed distance of their star are its core, and by the triangle inequality of Jaccard distances all
+of one core are linked, which needs sums and no comparison. Only pairs with a member outside are
+compared, block against block, so a crowd of close copies costs its size and not its square.
 
 Copies of one text are one node from the start, so crowds of copies cost one set. Nodes are compared
 first on sketches (a byte of every sampled hash); only documents with a partner that they meet here
 first, and that their sketches do not rule out, send their whole sets, which settle the link exactly.
-A pair that meets in several runs counts in the first only, which each task can tell by itself from
+A pair that meets in several leaves counts in the least of them only, which each task can tell by itself from
 the leaves of both, so no pair is ever emitted: a task hands on, for each of its nodes, a link count
 and the least node it is linked to.
 
@@ -19,9 +25,10 @@ Result: per document its class (the least key of all documents that links connec
 of links (other documents at the threshold or above, copies included).
 
 Defined results: texts of fewer words than a shingle have one shingle of all their words; texts
-without words, and null texts, have no shingle, no links and a class of their own; rows of one text
+without words, and null texts, have no shingle, no links and a class of their own; texts of any length
+are compared by all their shingles, as 64-bit hashes; rows of one text
 are copies whatever their keys; null keys name no class unless nothing else does; extra columns are
-not read; an empty table gives no rows.
+not read by the join and pass through one_of_each_class whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +42,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import lookup, staged, table, words
+from corpusloom.llm.common import OWN, lookup, packed, staged, table, unpacked, words
 
 WORDS = 5
 THRESHOLD = (4, 5)  # 0.8 as a ratio of whole numbers
 TARGET_RECALL = 0.9998
+KEYS = 48
 LEVELS = 3
+#: A node draws a second hash in one of so many cases: 1.25 hashes on average, one over the threshold.
+SECOND = 4
 MEMBERS = 256
 SHINGLES = 2_000_000
 #: Share of equal sketch bytes below which a pair is ruled out: over four deviations under the threshold.
@@ -48,27 +58,39 @@ SKETCH_SHARE = 0.5
 SEED = 7
 
 
+def missed(similarity: float, levels: int) -> float:
+    """The chance that a pair shares no node after so many levels of one run."""
+    lost = 0.0
+    for _ in range(levels - 1):
+        one = 1 - similarity + similarity * lost
+        lost = (1 - 1 / SECOND) * one + one * one / SECOND
+    return 1 - similarity + similarity * lost
+
+
 def runs_needed(similarity: float, recall: float, levels: int) -> int:
     """Runs after which a pair that is split at every level is missed with a chance of at most 1 - recall."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**levels))
+    return math.ceil(math.log(1 - recall) / math.log(missed(similarity, levels)))
 
 
 RUNS = runs_needed(THRESHOLD[0] / THRESHOLD[1], TARGET_RECALL, LEVELS)
 
 
-@functools.cache
 def _odd(n: int, salt: int) -> np.ndarray:
     return np.random.default_rng(SEED * 1000 + salt).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+# arrays, so that they travel with the functions that use them
+_WORD_WEIGHTS, _MULTIPLIERS, _OFFSETS = _odd(WORDS, 1), _odd(KEYS, 2), _odd(KEYS, 3)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_values(flat: np.ndarray, counts: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_values(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of texts given as word hashes one after another; shingles per text."""
-    weights = _odd(n, 1)
+    weights, n = _WORD_WEIGHTS, WORDS
     ends = np.cumsum(counts)
     out_counts = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     total = len(flat)
@@ -82,13 +104,12 @@ def shingle_values(flat: np.ndarray, counts: np.ndarray, n: int = WORDS) -> tupl
     return _mixed(value[(left >= n) | (first & (left < n))]), out_counts
 
 
-def signatures(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """For every set (none empty) the least value under each of `size` hash functions."""
+def signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For every set (none empty) the least value under each of KEYS hash functions."""
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    out = np.empty((len(counts), size), dtype=np.uint64)
-    multipliers, offsets = _odd(size, 2), _odd(size, 3)
-    for k in range(size):
-        out[:, k] = np.minimum.reduceat(_mixed((values ^ offsets[k]) * multipliers[k]), starts)
+    out = np.empty((len(counts), KEYS), dtype=np.uint64)
+    for k in range(KEYS):
+        out[:, k] = np.minimum.reduceat(_mixed((values ^ _OFFSETS[k]) * _MULTIPLIERS[k]), starts)
     return out
 
 
@@ -108,8 +129,6 @@ def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _nodes(docs: DataFrame) -> DataFrame:
     """One row per distinct text: node, min_doc, copies, n_sh, keys, sketch; docs has doc_id and text."""
-    size = RUNS * LEVELS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -117,14 +136,14 @@ def _nodes(docs: DataFrame) -> DataFrame:
                 flat, counts = _lists(b, "w")
                 values, n = shingle_values(flat, counts)
                 some = n > 0
-                keys = np.zeros((len(n), size), dtype=np.uint64)
+                keys = np.zeros((len(n), KEYS), dtype=np.uint64)
                 if some.any():
-                    keys[some] = signatures(values, n[some], size)
+                    keys[some] = signatures(values, n[some])
                 sketch = (keys >> np.uint64(40)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id"), b.column("node"), pa.array(n, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * size, pa.int32()), pa.array(keys.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * KEYS, pa.int32()), pa.array(keys.view(np.int64).ravel())),
                         pa.array([r.tobytes() for r in sketch], pa.binary()),
                     ],
                     names=["doc_id", "node", "n_sh", "keys", "sketch"],
@@ -139,36 +158,94 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _leaves(nodes: DataFrame) -> DataFrame:
-    """One row per node and run in which it shares a leaf: node, r, leaf, blocks."""
-    step = [F.struct(F.lit(r).alias("r"), *[F.get("keys", F.lit(r * LEVELS + k)).alias(f"k{k}") for k in range(LEVELS)]) for r in range(RUNS)]
-    rows = nodes.where("n_sh > 0").select("node", "n_sh", F.explode(F.array(*step)).alias("s")).select("node", "n_sh", "s.*")
-    rows = rows.withColumn("leaf", F.col("k0"))
+    """One row per node and leaf that it shares: node, n_sh, leaf, blocks (more than one in crowds)."""
+    roots = np.random.default_rng(SEED).permutation(KEYS)[:RUNS].tolist()
+    starts = F.array(*[F.xxhash64(F.lit(r), F.lit(p), F.get("keys", F.lit(p))) for r, p in enumerate(roots)])
+    rows = nodes.where("n_sh > 0").select("node", "n_sh", F.explode(starts).alias("leaf"))
     found = []
-    for level in range(LEVELS):
+    for level in range(1, LEVELS + 1):
         shared = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("members"), F.sum("n_sh").alias("shingles"))
         shared = staged(shared.where("members > 1").withColumnRenamed("leaf", "_leaf"), f"shared-{level}")
         rows = staged(lookup(rows, shared, F.col("leaf"), "_leaf", how="inner"), f"paths-{level}")
         blocks = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("shingles") / SHINGLES)).cast("int")
         sized = rows.withColumn("blocks", blocks)
-        last = level == LEVELS - 1
-        found.append((sized if last else sized.where("blocks = 1")).select("node", "r", "leaf", "blocks"))
+        last = level == LEVELS
+        found.append((sized if last else sized.where("blocks = 1")).select("node", "n_sh", "leaf", "blocks"))
         if not last:
-            rows = sized.where("blocks > 1").drop("members", "shingles", "blocks").withColumn("leaf", F.xxhash64("leaf", f"k{level + 1}"))
+            wide = sized.where("blocks > 1").select("node", "n_sh", "leaf").join(nodes.select("node", "keys"), "node")
+            drawn = lambda salt, n: F.pmod(F.xxhash64("leaf", F.lit(100 * level + salt)), F.lit(n)).cast("int")
+            wide = wide.withColumn("p", drawn(1, KEYS)).withColumn("q", F.pmod(F.col("p") + 1 + drawn(2, KEYS - 1), F.lit(KEYS)))
+            child = lambda at: F.xxhash64("leaf", at, F.get("keys", at))
+            both = F.when(drawn(3, SECOND) == 0, F.array(child(F.col("p")), child(F.col("q")))).otherwise(F.array(child(F.col("p"))))
+            rows = wide.select("node", "n_sh", F.explode(both).alias("leaf"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def _meetings(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """What each leaf (or pair of blocks of a large leaf) is to compare: leaf, bi, bj, b, r, node, n_sh, copies, vec, sketch."""
-    per_run = [F.max(F.when(F.col("r") == r, F.col("leaf"))) for r in range(RUNS)]
-    per_block = [F.max(F.when(F.col("r") == r, F.col("blocks"))) for r in range(RUNS)]
-    held = leaves.groupBy("node").agg(
-        F.array(*[F.coalesce(c, F.lit(0)) for c in per_run]).alias("vec"), F.array(*[F.coalesce(c, F.lit(0)) for c in per_block]).alias("nb")
-    )
-    full = held.join(nodes.select("node", "copies", "sketch"), "node")
-    full = full.select("*", F.posexplode("nb").alias("r", "blocks")).where("blocks > 0")
-    full = full.withColumn("leaf", F.get("vec", F.col("r"))).withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks").cast("bigint")).cast("int"))
-    full = full.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return full.select("leaf", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "b", "r", "node", "copies", "vec", "sketch")
+def _stars(docs: DataFrame, nodes: DataFrame, leaves: DataFrame) -> DataFrame | None:
+    """The cores of crowds: node, star, copies. Two nodes of one star are linked for certain. None where nothing is crowded."""
+    crowd = leaves.where("blocks > 1").select("leaf", "node")
+    if not crowd.limit(1).count():
+        return None
+    least = staged(crowd.groupBy("leaf").agg(F.min("node").alias("star")).withColumnRenamed("leaf", "_leaf"), "crowds")
+    stars = staged(lookup(crowd, least, F.col("leaf"), "_leaf", how="inner").groupBy("node").agg(F.min("star").alias("star")), "members")
+    both = staged(stars.select("node").union(stars.select("star")).distinct(), "crowded")
+    sets = staged(_sets(docs, nodes, both).dropDuplicates(["node"]), "crowded-sets")
+    centres = staged(sets.join(stars.select(F.col("star").alias("node")).distinct(), "node").select(F.col("node").alias("_star"), F.col("shingles").alias("centre")), "centres")
+    rows = stars.join(nodes.select("node", "copies"), "node").join(sets, "node")
+    rows = lookup(rows, centres, F.col("star"), "_star", how="inner").select("node", "star", "copies", "shingles", "centre")
+    # half of the distance 1 - THRESHOLD, as a ratio of whole numbers
+    near, of = THRESHOLD[1] - THRESHOLD[0], 2 * THRESHOLD[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, dtype=bool)
+            for i, (x, c) in enumerate(zip(b.column("shingles"), b.column("centre"))):
+                x, c = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(c.as_py(), dtype=np.uint64)
+                common = len(np.intersect1d(x, c, assume_unique=True))
+                every = len(x) + len(c) - common
+                keep[i] = of * (every - common) <= near * every
+            yield b.select(["node", "star", "copies"]).filter(pa.array(keep))
+
+    return staged(rows.mapInArrow(run, "node binary, star binary, copies bigint"), "cores")
+
+
+def _core_links(cores: DataFrame) -> DataFrame:
+    """The links within cores: node, root, links."""
+    whole = staged(cores.groupBy(F.col("star").alias("_star")).agg(F.min("node").alias("root"), F.sum("copies").alias("all")), "core-sizes")
+    found = lookup(cores, whole, F.col("star"), "_star", how="inner")
+    return found.select("node", "root", (F.col("all") - F.col("copies")).alias("links")).where("links > 0")
+
+
+def _placed(leaves: DataFrame, cores: DataFrame | None) -> DataFrame:
+    """Where each node is compared: node, leaf, bi, bj, b. A leaf's greatest core takes negative block numbers and is compared with the rest only."""
+    some = leaves.where("blocks = 1").select("node", "leaf", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("b"))
+    if cores is None:
+        return some
+    crowd = staged(leaves.where("blocks > 1").join(cores.select("node", "star"), "node", "left"), "crowd")
+    cores_of = crowd.where("star is not null").groupBy("leaf", "star").agg(F.count(F.lit(1)).alias("n"))
+    first = cores_of.groupBy(F.col("leaf").alias("_leaf")).agg(F.max_by("star", F.struct("n", "star")).alias("main"))
+    crowd = staged(lookup(crowd, staged(first, "main-cores"), F.col("leaf"), "_leaf").withColumn("inner", F.coalesce(F.col("star") == F.col("main"), F.lit(False))), "sided")
+    side = lambda c, inner: F.coalesce(F.sum(F.when(F.col("inner") == inner, c)), F.lit(0))
+    n_blocks = lambda inner: F.greatest(F.ceil(side(F.lit(1), inner) / MEMBERS), F.ceil(side(F.col("n_sh"), inner) / SHINGLES)).cast("int")
+    sizes = staged(crowd.groupBy(F.col("leaf").alias("_leaf")).agg(n_blocks(True).alias("n_in"), n_blocks(False).alias("n_out")), "crowd-sizes")
+    crowd = lookup(crowd, sizes, F.col("leaf"), "_leaf", how="inner").where("n_out > 0")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("n_in")).otherwise(F.col("n_out")).cast("bigint")).cast("int")
+    crowd = crowd.withColumn("b", F.when(F.col("inner"), -1 - own).otherwise(own))
+    count = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.col(n) - 1, F.lit(0))), lambda i: i < F.col(n))
+    others = F.when(F.col("inner"), count("n_out")).otherwise(F.concat(count("n_out"), F.transform(count("n_in"), lambda i: -1 - i)))
+    crowd = crowd.withColumn("j", F.explode(others))
+    return some.unionByName(crowd.select("node", "leaf", F.least("b", "j").alias("bi"), F.greatest("b", "j").alias("bj"), "b"))
+
+
+def _meetings(nodes: DataFrame, leaves: DataFrame, cores: DataFrame | None) -> DataFrame:
+    """What each leaf (or pair of blocks of a crowd) is to compare; vec holds all leaves of a node, star is 0 outside of cores."""
+    held = leaves.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("vec"))  # RUNS * 2 ** (LEVELS - 1) leaves at most
+    facts = held.join(nodes.select("node", "copies", "sketch"), "node")
+    if cores is None:
+        facts = facts.withColumn("star", F.lit(0).cast("bigint"))
+    else:
+        facts = facts.join(cores.select("node", F.xxhash64("star").alias("star")), "node", "left").fillna(0, ["star"])
+    return _placed(leaves, cores).join(facts, "node").select("leaf", "bi", "bj", "b", "node", "copies", "vec", "sketch", "star")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -197,44 +274,55 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.n
         yield held.combine_chunks(), np.array([0, held.num_rows])
 
 
-@functools.lru_cache(maxsize=64)
-def _triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
-
-
 class Met:
     """The facts of a table of groups that say which pairs are to be compared in it."""
 
     def __init__(self, t: pa.Table) -> None:
-        self.vec = np.asarray(t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, RUNS)
-        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, RUNS * LEVELS)
-        self.r, self.b = t.column("r").to_numpy(), t.column("b").to_numpy()
+        vec = t.column("vec").combine_chunks()
+        self.leaves, self.counts = vec.flatten().to_numpy(zero_copy_only=False), np.diff(vec.offsets.to_numpy())
+        self.ends = np.cumsum(self.counts)
+        self.sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, KEYS)
+        self.leaf, self.b, self.star = (t.column(c).to_numpy() for c in ("leaf", "b", "star"))
         self.within = t.column("bi").to_numpy() == t.column("bj").to_numpy()
         self.node = np.array(t.column("node").to_pylist(), dtype=object)
 
+    def earlier(self, start: int, end: int) -> np.ndarray:
+        """For the members of a group: which leaves below this one that several of them share (members x leaves)."""
+        low, high = self.ends[start] - self.counts[start], self.ends[end - 1]
+        leaves, row = self.leaves[low:high], np.repeat(np.arange(end - start), self.counts[start:end])
+        before = leaves < self.leaf[start]
+        _, column, often = np.unique(leaves[before], return_inverse=True, return_counts=True)
+        row, useful = row[before], often > 1
+        keep = useful[column]
+        out = np.zeros((end - start, int(useful.sum())), dtype=np.float32)
+        out[row[keep], (np.cumsum(useful) - 1)[column[keep]]] = 1
+        return out
+
     def pairs(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of the group that meet here first and whose sketches do not rule them out."""
-        i, j = _triangle(end - start) if end - start <= 512 else np.triu_indices(end - start, 1)
-        out = []
+        """Pairs of the group that meet here first, are not linked by a core, and whose sketches do not rule them out."""
+        held, out = self.earlier(start, end), []
+        i, j = np.triu_indices(end - start, 1)
         for at in range(0, len(i), 65536):
             x, y = i[at : at + 65536] + start, j[at : at + 65536] + start
+            ok = (self.star[x] != self.star[y]) | (self.star[x] == 0)
             if not self.within[start]:
-                ok = self.b[x] != self.b[y]
-                x, y = x[ok], y[ok]
-            ok = (self.sketch[x] == self.sketch[y]).sum(axis=1) >= SKETCH_SHARE * RUNS * LEVELS
+                ok &= self.b[x] != self.b[y]
+            x, y = x[ok], y[ok]
+            ok = (self.sketch[x] == self.sketch[y]).sum(axis=1) >= SKETCH_SHARE * KEYS
             x, y = x[ok], y[ok]
-            met = ((self.vec[x] == self.vec[y]) & (self.vec[x] != 0) & (np.arange(RUNS) < self.r[start])).any(axis=1)
-            x, y = x[~met], y[~met]
+            if held.shape[1] and len(x):
+                ok = np.einsum("ij,ij->i", held[x - start], held[y - start]) == 0
+                x, y = x[ok], y[ok]
             ok = self.node[x] != self.node[y] if len(x) else np.zeros(0, dtype=bool)
             out.append((x[ok], y[ok]))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+        return np.concatenate([o[0] for o in out] or [i]), np.concatenate([o[1] for o in out] or [j])
 
 
 def _by_group(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return rows.repartition("leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj").mapInArrow(run, schema)
 
 
-_MEETING = "leaf bigint, bi int, bj int, b int, r int, node binary, copies bigint, vec array<bigint>, sketch binary"
+_MEETING = "leaf bigint, bi int, bj int, b int, node binary, copies bigint, vec array<bigint>, sketch binary, star bigint"
 
 
 def _needed(meetings: DataFrame) -> DataFrame:
@@ -320,8 +408,8 @@ def _links(compared: DataFrame) -> DataFrame:
     return _by_group(compared, run, "node binary, root binary, links bigint")
 
 
-def _with_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
-    """The needed meetings with the whole shingle sets of their nodes, made again from the texts that need them."""
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The whole shingle sets of the nodes of `wanted`, made again from the texts: node, shingles. Rows that repeat a key and text repeat theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -333,11 +421,10 @@ def _with_sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFram
                 packed = [np.unique(values[e - c : e]).tobytes() for e, c in zip(ends, n)]
                 yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packed, pa.binary())], names=["node", "shingles"])
 
-    wanted = staged(needed.select("node").distinct().join(nodes.select("node", "min_doc"), "node").withColumnRenamed("node", "_wanted"), "wanted")
+    wanted = staged(wanted.join(nodes.select("node", "min_doc"), "node").withColumnRenamed("node", "_wanted"), "wanted")
     rows = docs.select("doc_id", node_of(F.col("text")).alias("node"), "text")
     rows = lookup(rows, wanted, F.col("node"), "_wanted", how="inner").where(F.col("doc_id").eqNullSafe(F.col("min_doc")))
-    sets = rows.select("node", _word_hashes(F.col("text")).alias("w")).mapInArrow(run, "node binary, shingles binary")
-    return lookup(sets, needed.withColumnRenamed("node", "_node"), F.col("node"), "_node", how="inner", salts=1)
+    return rows.select("node", _word_hashes(F.col("text")).alias("w")).mapInArrow(run, "node binary, shingles binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -364,8 +451,13 @@ def similar_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     slim = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     nodes = staged(_nodes(slim), "nodes")
     leaves = staged(_leaves(nodes), "leaves")
-    needed = staged(_needed(_meetings(nodes, leaves)), "needed")
-    links = staged(_links(_with_sets(slim, nodes, needed)), "links")
+    cores = _stars(slim, nodes, leaves)
+    needed = staged(_needed(_meetings(nodes, leaves, cores)), "needed")
+    sets = _sets(slim, nodes, needed.select("node").distinct())
+    links = _links(lookup(sets, needed.withColumnRenamed("node", "_node"), F.col("node"), "_node", how="inner", salts=1))
+    if cores is not None:
+        links = links.unionByName(_core_links(cores))
+    links = staged(links, "links")
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(links)
     some = nodes.where("n_sh > 0").select("node", "min_doc", "copies").join(counts, "node", "left").where("copies > 1 or links is not null")
@@ -378,38 +470,41 @@ def similar_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 def jaccard_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, class_id, n_links."""
     classes = similar_classes(docs, key=key, text=text).select(F.col("node").alias("_node"), "class_id", "n_links")
-    rows = docs.select(F.col(key), node_of(F.col(text)).alias("node"))
+    rows = docs.select(F.col(key).alias("_k"), node_of(F.col(text)).alias("node"))
     joined = lookup(rows, classes, F.col("node"), "_node")
-    return joined.select(key, F.coalesce("class_id", F.col(key).cast("bigint")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return joined.select(F.col("_k").alias(key), F.coalesce("class_id", F.col("_k").cast("bigint")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def one_of_each_class(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows without those of a class but the one of its least key; the columns stay as they are.
+    """The rows without those of a class but the one of its least key; the columns stay as they are, whatever their names.
 
     A class is a component of texts, as classes of null keys or of one key have the same class_id. Null
     keys come last, and of several texts of the least key the one of the least node stays. Only texts that have a copy or a link are looked up. Where whole rows repeat (same key and text),
     one of them stays.
     """
     classes = similar_classes(docs, key=key, text=text)
-    keep = docs.columns
-    rows = docs.withColumn("_node", node_of(F.col(text)))
+    rows = docs.select(packed(docs), F.col(key).alias("_k"), node_of(F.col(text)).alias("_node"))
     least = classes.where(F.col("min_doc").eqNullSafe(F.col("class_id"))).groupBy(F.col("label").alias("_label")).agg(F.min("node").alias("_first"))
     known = classes.join(least, F.col("label") == F.col("_label")).select(
         F.col("node").alias("_known"), (F.col("node") == F.col("_first")).alias("_stays"), F.col("class_id").alias("_class"), F.col("copies").alias("_copies")
     )
     joined = lookup(rows, staged(known, "known"), F.col("_node"), "_known")
-    fit = F.col("_stays").isNull() | (F.col("_stays") & F.col(key).eqNullSafe(F.col("_class")))
+    fit = F.col("_stays").isNull() | (F.col("_stays") & F.col("_k").eqNullSafe(F.col("_class")))
     alone = joined.where(fit)
     again = alone.where("_copies > 1").groupBy("_node").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_node").alias("_again"))
     again = staged(again, "repeated-rows")
     if not again.limit(1).count():
-        return alone.select(*keep)
+        return alone.select(*unpacked(docs.columns))
     marked = lookup(alone, again.withColumn("_twice", F.lit(True)), F.col("_node"), "_again")
-    single = marked.where(F.col("_twice").isNull()).select(*keep)
-    return single.unionByName(marked.where("_twice").dropDuplicates(["_node"]).select(*keep))
+    single = marked.where(F.col("_twice").isNull()).select(OWN + "row")
+    row = F.col(OWN + "row")
+    hashable = "map<" not in docs.schema.simpleString() and "variant" not in docs.schema.simpleString()
+    one = marked.where("_twice").groupBy("_node").agg((F.min_by(row, F.xxhash64(row)) if hashable else F.first(row)).alias(OWN + "row")).select(OWN + "row")
+    return single.unionByName(one).select(*unpacked(docs.columns))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document; all cases as the module says."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
