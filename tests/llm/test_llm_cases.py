@@ -179,6 +179,33 @@ def test_cascade_does_not_depend_on_order(spark):
     assert quality_rules.judge(docs.where("false")).count() == 0
 
 
+def test_cascade_is_ordered_by_rejections_per_cost_and_stays_so(spark):
+    rules = (
+        quality_rules.Rule("dear", lambda m: m["n_repeat_words"] > 0, 0, 300),
+        quality_rules.Rule("cheap", lambda m: m["n_words"] < 20, 0, 0),
+        quality_rules.Rule("useless", lambda m: m["n_words"] < 0, 0, 0),
+    )
+    facts = [(100, 20, [True, True, False])] * 5 + [(100, 20, [True, False, False])] + [(100, 20, [False, False, False])] * 4
+    assert [r.name for r in quality_rules.in_order(rules, facts)] == ["cheap", "dear", "useless"]
+    # "dear" rejects most, but nothing that "cheap" leaves
+    facts = [(100, 20, [True, True, False])] * 5 + [(100, 20, [False, False, True])]
+    assert [r.name for r in quality_rules.in_order(rules, facts)] == ["cheap", "useless", "dear"]
+    docs = documents(spark, ["THIS IS!! LOUD!! " * 20, "x " * 50, "a### b%%% c*** " * 30])
+    orders = [[r.name for r in quality_rules.order_rules(docs)] for _ in range(3)]
+    assert orders[0] == orders[1] == orders[2]
+    assert quality_rules.order_rules(docs.where("false"))
+
+
+def test_later_rules_cost_only_what_passes(spark):
+    boom = quality_rules.Rule("boom", lambda m: F.raise_error(F.concat(F.lit("reached by "), m["n_words"].cast("string"))).cast("boolean"), 1e9, 1e9)
+    short = quality_rules.Rule("short", lambda m: m["n_words"] < 20, 0, 0)
+    docs = spark.createDataFrame([("one two",), ("three",)], "text string")
+    m = quality_rules._measured(F.col("text"), lambda m: quality_rules.verdict([short, boom], m))
+    assert [r[0] for r in docs.select(m).collect()] == ["short", "short"]
+    with pytest.raises(Exception, match="reached by"):
+        docs.select(quality_rules._measured(F.col("text"), lambda m: quality_rules.verdict([boom, short], m))).collect()
+
+
 # -- WARC
 
 
