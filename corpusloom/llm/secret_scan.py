@@ -1,23 +1,30 @@
 """Secrets in texts: fixed patterns, and novelty under a dictionary-primed compressor.
 
 Base patterns find assignments, access keys and long hexadecimal runs. Beyond them, each long
-token in the line of a word of secrecy, or near it on either side, is compressed by zstandard primed with a dictionary of
-identifiers and of the text around it: what it adds in bytes, against its length, is its novelty.
-A random string adds almost its own length, a word or identifier that code repeats adds little; a
-candidate whose marginal bytes reach NOVEL of its length is reported as kind "novel", at every place
-of the text where its value occurs. Other occurrences of the candidate do not prime the compressor.
+token in the line of a word of secrecy, or near it on either side, is compressed by zstandard. Its dictionary
+holds the identifiers that occur in most documents (counted over all of them) and words that code
+repeats; the frame starts with rarer words of the corpus, spelled backwards, and the text around the token, so that letters
+cost what they cost in such text. What the token adds in bytes is its novelty. It is reported as
+kind "novel", at every place of the text where its value occurs, if it adds more than a limit for its length:
+half way between what nearly all made-up identifiers of that length add and what nearly all random strings add, both
+measured by the same compressor when it is made. Case counts only where it is not that of words, so
+constants and camel case cost what their words cost. Other occurrences of the candidate do not prime the compressor.
+
+What is a candidate is part of the definition: a token of SHORTEST characters or more, with a letter, that is no
+host of a mail address and whose line, or whose REACH characters on either side, hold a word of secrecy.
 
 Defined results: null or empty text has no spans and the digest of the empty string; positions are
-code points, the end is exclusive; whole texts are scanned; a null doc_id is passed on; repeated
-rows give repeated rows; other columns are not read.
+code points, the end is exclusive; whole texts of any length are scanned; a null doc_id is passed on; repeated
+rows give repeated rows; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import zstandard
@@ -38,10 +45,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_VALUE = 12
 #: Words near which a token is a candidate: in its line, or with so many characters between on either side.
-SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "private-key", "credential", "auth_key", "bearer")
+SENSITIVE = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "credential", "bearer", "apikey")
+#: What stands before "key", with a space, an underscore, a hyphen or nothing between.
+KEYS_OF = ("api", "access", "private", "auth", "signing", "encryption", "decryption", "master", "shared", "account", "storage", "service", "session", "deploy", "ssh", "license")
 REACH = 32
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_][A-Za-z0-9+/_=.\-]{15,}")
-CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
+CONTEXT = re.compile("|".join([*SENSITIVE, f"(?:{'|'.join(KEYS_OF)})[ _-]?key"]), re.ASCII | re.IGNORECASE)
 #: Characters of the shortest candidate.
 SHORTEST = 16
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.\-]")
@@ -49,23 +58,37 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=.\-]")
 REST = re.compile(r"(?:[A-Za-z]{1,15}[0-9]{0,2}(?![A-Za-z0-9]))?(?:[_-]+[A-Za-z]{1,15}[0-9]{0,2}(?![A-Za-z0-9]))*[_-]*")
 NAME = re.compile(r"[A-Za-z0-9_-]*")
 HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\.?")
-HEXADECIMAL = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-#: From so many characters on zstandard codes letters by their frequency.
-CODED = 64
-#: Marginal bytes of a candidate against its length, from which it is reported.
-NOVEL = 0.7
+#: A value in the case of words: camel case, constants, or lower case.
+WORDED = re.compile(r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[^A-Za-z]++)*+")
 #: Characters of the text on each side of a candidate that prime the compressor.
 AROUND = 512
-#: Identifiers and words that code and prose around secrets repeat.
+#: Level at which zstandard looks for matches of three letters.
+LEVEL = 19
+#: Identifiers of the corpus in the dictionary, and rarer ones that prime frames and make up identifiers.
+IN_DICTIONARY, RARER = 3000, 1000
+PRIMED = 1000
+#: Lengths at which limits are measured, strings measured for each, and the share of them that a limit lies beyond.
+LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
+TRIALS, NEARLY_ALL = 60, 0.95
+SEED = 5
+#: Placeholders, and words of which identifiers are commonly made.
 IDENTIFIERS = (
-    "password passwd passphrase secret token api_key apikey access_key private_key public_key credential credentials "
-    "authorization bearer authentication username user_name account client_id client_secret session_id request response "
-    "configuration config settings environment production development staging localhost example placeholder changeme "
-    "your_api_key_here your_token_here insert_your_key your-secret-key access_token refresh_token token_type expires_in "
-    "import from return function class def self this const let var public private protected static final void string "
-    "integer boolean true false null none undefined http https www com org net index default value values parameter "
-    "parameters argument arguments database connection host port name number error exception message length size count "
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 xxxxxxxxxxxxxxxx ----------------"
+    "your_api_key_here your_token_here insert_your_key changeme placeholder example abcdefghijklmnopqrstuvwxyz 0123456789 "
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx ---------------- 0000000000000000 1234567890"
+)
+PARTS = (
+    "access account action active address admin agent app archive array async auth author backup base batch body branch "
+    "buffer build byte cache call category channel class client cloud cluster code color column command comment common "
+    "company component config connection console content context control cookie count create current customer data "
+    "database date debug default delete deploy detail device digest directory document domain download driver email "
+    "enable entity env error event example execute expire export factory feature field file filter final first folder "
+    "format function gateway global graph group handler hash header health helper history host html http image import "
+    "index info input instance interface internal item iterator job json key label language layout length level library "
+    "limit link list load local lock log login main manager map max member memory message metadata method metric min "
+    "mode model module monitor name network next node note number object offset option order output owner package page "
+    "parameter parent path pattern payload permission pipeline platform plugin point port position prefix private "
+    "process product profile project property protocol provider public query queue random range rate read record "
+    "region register release remote report request reset resource response result role root"
 )
 
 
@@ -81,11 +104,88 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def marginal_bytes(candidate: str, before: str, after: str, level: int = 3) -> int:
-    """Bytes that the candidate adds to a frame primed with identifiers and its surroundings."""
-    primed = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + after + " " + before).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packer = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
+class Novelty:
+    """A compressor primed with identifiers, and the limits beyond which what a value adds is novel.
+
+    words: dictionary text; prime: what every frame starts with; limits: bytes by length (LENGTHS).
+    """
+
+    def __init__(self, words: str, prime: str, limits: list[float]) -> None:
+        self.words, self.prime, self.limits = words, prime, limits
+        held = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=LEVEL)
+        self.packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def added(self, value: str, before: str = "", after: str = "") -> int:
+        """Bytes by which a frame of the prime and the surroundings grows with the value."""
+        frame = f"{self.prime} {after}\n{before}"
+        if WORDED.fullmatch(value):
+            value, frame = value.lower(), frame.lower()
+        raw = frame.encode("utf-8", "replace")
+        return len(self.packer.compress(raw + value.encode())) - len(self.packer.compress(raw))
+
+    def limit(self, length: int) -> float:
+        """Bytes that a value of so many characters must add: between two measured lengths in proportion, beyond the last by its share."""
+        for low, high, a, z in zip(LENGTHS, LENGTHS[1:], self.limits, self.limits[1:]):
+            if length <= high:
+                return a + (z - a) * (length - low) / (high - low)
+        return self.limits[-1] * length / LENGTHS[-1]
+
+    def plain(self) -> dict:
+        """What a worker needs to make the compressor again."""
+        return {"words": self.words, "prime": self.prime, "limits": self.limits}
+
+
+def again(held: dict) -> Novelty:
+    """The compressor of these values, made once in a worker and kept beside them."""
+    if "novelty" not in held:
+        held["novelty"] = Novelty(held["words"], held["prime"], held["limits"])
+    return held["novelty"]
+
+
+def made_up(r: random.Random, pool: list[str], length: int) -> str:
+    """An identifier of the words of a pool, in one of the usual spellings."""
+    sep, out = r.choice(["_", "_", "-", ".", "/", ""]), ""
+    while len(out) < length:
+        word = r.choice(pool) if r.random() < 0.9 else str(r.randint(1, 2030))
+        out += (sep if out else "") + (word if sep or not out else word.capitalize())
+    return out[:length]
+
+
+def learnt(tokens: list[str]) -> Novelty:
+    """The compressor for a corpus whose most frequent identifiers these are, most frequent first."""
+    parts = PARTS.split()
+    known, rarer = tokens[:IN_DICTIONARY], tokens[IN_DICTIONARY:] or tokens or parts
+    r = random.Random(SEED)
+    # the end of a dictionary is the nearest to a frame
+    words = " ".join([*reversed(known), *parts, IDENTIFIERS])
+    # spelled backwards they have the letters of words but no match in the dictionary, so letters are coded by their frequency
+    prime = " ".join(r.choice((rarer, parts)[i % 2]).lower()[::-1] for i in range(PRIMED // 3))[:PRIMED]
+    found, limits = Novelty(words, prime, []), []
+    pool = [w.lower() for w in [*parts, *r.sample(rarer, min(len(rarer), len(parts)))]]
+    for n in LENGTHS:
+        usual = sorted(found.added(made_up(r, pool, n)) for _ in range(TRIALS))
+        letters = ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef")
+        strange = sorted(found.added("".join(r.choice(letters[i % 2]) for _ in range(n))) for i in range(TRIALS))
+        limits.append((usual[int(NEARLY_ALL * TRIALS)] + strange[int((1 - NEARLY_ALL) * TRIALS)]) / 2)
+    return Novelty(words, prime, limits)
+
+
+@cache
+def general() -> Novelty:
+    """The compressor that knows no corpus."""
+    return learnt([])
+
+
+#: Identifiers, or parts of them between separators, that are spelled as words; a random string is none, so secrets never get in.
+IDENTIFIER = r"(?<![A-Za-z0-9])((?:[A-Z]?[a-z]{2,31}+){1,4}+|[A-Z]{3,31}+)(?![A-Za-z0-9])"
+
+
+def frequent_identifiers(docs: DataFrame, text: str = "text") -> list[str]:
+    """The IN_DICTIONARY + RARER identifiers that most documents hold, two at least, by count and then by name; every document is counted."""
+    each = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(1)))
+    counts = docs.select(F.explode(each).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return [r.w for r in counts.orderBy(F.col("n").desc(), "w").limit(IN_DICTIONARY + RARER).collect()]
 
 
 def _around(text: str, start: int, end: int) -> tuple[str, str]:
@@ -153,37 +253,22 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             g += high < final
 
 
-def least_bytes(value: str) -> float:
-    """The marginal bytes from which a value is novel.
-
-    A long value's letters are entropy coded by zstandard, so one of few kinds of letters costs less
-    a letter however random it is: NOVEL then stands for 64 kinds, the most that a token's letters have.
-    """
-    if len(value) < CODED:
-        return NOVEL * len(value)
-    if HEXADECIMAL.fullmatch(value):
-        kinds = 16
-    else:
-        sets = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        kinds = sum(len(s) for s in sets if not set(s).isdisjoint(value)) + len(set(value) & set("+/_=.-"))
-    return NOVEL * len(value) * min(1.0, math.log2(max(2, kinds)) / 6)
-
-
 def _trimmed(text: str, start: int, end: int) -> int:
     """The end of a candidate without the stop of a sentence."""
     short = start + len(text[start:end].rstrip(".-"))
     return short if short - start >= SHORTEST else end
 
 
-def novel_spans(text: str) -> list[tuple[str, int, int, int]]:
+def novel_spans(text: str, novelty: Novelty | None = None) -> list[tuple[str, int, int, int]]:
     """Values in sensitive context that the primed compressor can't shorten, wherever they occur: kind, start, end, bytes."""
+    novelty = novelty or general()
     novel: dict[str, int] = {}
     for start, end in candidates(text):
         end = _trimmed(text, start, end)
         value = text[start:end]
         if value not in novel:
-            added = marginal_bytes(value, *_around(text, start, end))
-            if added >= least_bytes(value):
+            added = novelty.added(value, *_around(text, start, end))
+            if added >= novelty.limit(len(value)):
                 novel[value] = added
     if not novel:
         return []
@@ -206,25 +291,26 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered)
 
 
-def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
+def scan(text: str | None, novelty: Novelty | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, int]]]:
     """Base spans and novel spans of a whole text."""
     if not text:
         return [], []
-    low = text.lower()
-    return base_spans(text), novel_spans(text) if any(w in low for w in SENSITIVE) else []
+    return base_spans(text), novel_spans(text, novelty) if CONTEXT.search(text) else []
 
 
 def find_secrets(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every span of every text: key, spans (kind, start, end, value, added bytes or null). One narrow pass."""
+    """Every span of every text: key, spans (kind, start, end, value, added bytes or null). One pass counts identifiers, a narrow one scans."""
+    sent = docs.sparkSession.sparkContext.broadcast(learnt(frequent_identifiers(docs, text)).plain())
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("added", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = again(sent.value)
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                base, novel = scan(t)
+                base, novel = scan(t, novelty)
                 every = [(k, a, e, None) for k, a, e in base] + novel
                 every.sort(key=lambda s: (s[1], _RANK[s[0]]))
                 out.append([{"kind": k, "start": a, "end": e, "value": t[a:e], "added": n} for k, a, e, n in every])
