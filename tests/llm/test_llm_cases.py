@@ -150,8 +150,9 @@ def test_novelty_of_planted_secrets_and_identifiers(spark):
     caught = sum(secrets[i] in found[i] for i in range(120))
     wrong = sum(bool(found[120 + i]) for i in range(60))
     assert caught >= 114 and wrong <= 6
-    # without the limits every candidate would be reported, with endless ones none
-    assert all(list(secret_scan.candidates(t)) for t in texts)
+    # without the limits nearly all of both would be reported
+    measured = [bool(list(secret_scan.candidates(t))) for t in texts]
+    assert all(measured[:120]) and sum(measured[120:]) >= 40
 
 
 def test_identifiers_are_counted_over_all_documents(spark):
