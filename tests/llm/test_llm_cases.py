@@ -55,6 +55,57 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "long text of the article that goes on and on " * 8
+MENU = "<div class='menu'>" + "".join(f"<a href='/{i}'>item {i}</a>" for i in range(8)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # names never take headings, paragraphs, what stands in a line, or regions with words of their own
+        (f"<article><h2 id='related-work'>Related</h2><p>{LONG}</p><section id='search-algorithms'><p>short</p></section><p class='notice'>mind</p><div class='alert-dialog-design'>d</div><p>a <a class='share-link'>share</a> b</p></article>", f"Related\n{LONG.strip()}\nshort\nmind\nd\na share b"),
+        # nothing of a line is dropped
+        (f"<article><p>{LONG}</p><p>E = <math><mi>m</mi></math> c <object>o</object><canvas>k</canvas></p></article>", f"{LONG.strip()}\nE = m c ok"),
+        # a <main> keeps its text and loses lists of links
+        (f"<main><h1>T</h1><p>{LONG}</p><p>end <a>here</a></p><ul>" + "".join(f"<li><a href='{i}'>story {i}</a></li>" for i in range(5)) + "</ul></main>", f"T\n{LONG.strip()}\nend here"),
+        # an article keeps the links it ends with
+        (f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a href='{i}'>source {i}</a></li>" for i in range(3)) + "</ul></article>", f"{LONG.strip()}\nsource 0\nsource 1\nsource 2"),
+        # adverts within: named and below the threshold
+        (f"<article><p>{LONG}</p><div class='ad'>buy this now and here</div><p>{LONG}</p></article>", f"{LONG.strip()}\n{LONG.strip()}"),
+        # a page that is boilerplate by name as a whole
+        (f"<body><div class='sidebar-container'>{MENU}<div class='content'><p>{LONG}</p><p>{LONG}</p></div></div></body>", f"{LONG.strip()}\n{LONG.strip()}"),
+        # the headline in a page's header, where the text has none
+        (f"<body><header><div>Site</div><h1>Head</h1></header>{MENU}<div><p>{LONG}</p><p>end</p></div></body>", f"Head\n{LONG.strip()}\nend"),
+        # a form around the page, and one in it
+        (f"<body><form>{MENU}<h1>T</h1><div><p>{LONG}</p></div></form><form><p>name</p></form></body>", f"T\n{LONG.strip()}"),
+        # cards of other stories
+        (f"<body><article><p>{LONG}</p><p>end</p></article><article><h3><a>Other</a></h3></article></body>", f"{LONG.strip()}\nend"),
+    ],
+)
+def test_regions_are_chosen_by_their_scores(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<body>{MENU}<div><p>{LONG}</p><p>end</p></div><div><p>tail</p></div></body>"
+    assert html_extract.main_text(page) == f"{LONG.strip()}\nend"
+    monkeypatch.setattr(html_extract, "_threshold", lambda values: -1.0)
+    assert "item 1" in html_extract.main_text(page) and "tail" in html_extract.main_text(page)
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        page = "<div>" * n + "".join(f"<p><b><i>line {i} of some words" for i in range(n)) + "</i>" * n
+        began = time.perf_counter()
+        assert html_extract.main_text(page).count("\n") == n - 1
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16000) < 12 * max(took(4000), 0.05)
+
+
 def test_sections_of_any_share_stay():
     long, short = "long text of the first part " * 40, "the short second part has its own text " * 3
     page = f"<body><div class='menu'><a>m</a></div><div><section><p>{long}</p></section><section><p>{short}</p><p>end</p></section></div><div class='footer'>f</div></body>"
