@@ -312,6 +312,40 @@ def test_archives_of_hard_rows(spark, tmp_path, broadcast, monkeypatch):
     assert warc.lookup_url(spark, index, "http://nowhere.org/") == []
 
 
+@pytest.mark.parametrize("mounted", [True, False])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_pages_are_found_by_search_and_read_by_ranges(spark, tmp_path, broadcast, mounted, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "PAGE", 2)
+    monkeypatch.setattr(warc, "KEYS_AT_ONCE", 2)
+    long = "http://x.org/" + "q" * 70000
+    urls = [f"http://{h}.org/{p}" for h in "abc" for p in range(9)] + [None, " http://a.org/0 ", "a\r\nb %C3é+", long, long + "1", ""] + ["http://hot.org/"] * 20
+    rows = [(i, u, f"page {i % 40}", "x", "y") for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, key string, file string").repartition(3)
+    path, index = str(tmp_path / "a"), str(tmp_path / "i")
+    warc.write_archives(pages, path)
+    warc.build_index(spark, path, index)
+    got = sorted((r.page_id, r.url) for r in warc.read_back(spark, path, index, pages, mounted=mounted).collect())
+    assert got == [(i, u) for i, u in enumerate(urls)]
+    some = pages.where("page_id in (3, 27)")
+    assert sorted(r.page_id for r in warc.read_back(spark, path, index, some, mounted=mounted).collect()) == [3, 27, 32]
+    nothing = spark.createDataFrame([("http://none.org/",)], "url string")
+    assert warc.read_back(spark, path, index, nothing, mounted=mounted).count() == 0
+    # blocks that no key asks for are not unpacked
+    assert warc.find_blocks(spark, index, warc.keys_of(some.where("page_id = 3"))).count() <= 2
+
+
+def test_archives_of_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    path, index = str(tmp_path / "a"), str(tmp_path / "i")
+    warc.write_archives(pages, path)
+    warc.build_index(spark, path, index)
+    assert warc.read_back(spark, path, index, pages).count() == 0
+
+
 def test_lookup_of_keys_with_spaces(spark, tmp_path):
     urls = ["http://a.org/x y", "http://a.org/x!z", "http://a.org/x", "http://a.org/x$"]
     pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id bigint, url string, html string").coalesce(1)
