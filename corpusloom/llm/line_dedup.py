@@ -2,7 +2,7 @@
 
 Every line has a hash; a rolling hash over two line hashes is taken at each line, and a chunk starts
 where that rolling hash is smaller than those of the lines before and after. The place of a boundary
-depends on three lines around it alone, so lines inserted above do not shift the chunks below. A
+depends on four lines around it alone (two before it, it and the one after), so lines inserted above do not shift the chunks below. A
 chunk of two lines or more (with a word in it) that occurs more than once in the corpus stays where
 it comes first, in the smallest key and there in the earliest place, and goes everywhere else, but
 only if its bytes equal those of the first occurrence.
@@ -19,7 +19,8 @@ Where a run overlaps its own first occurrence, the lines of that stay.
 
 Defined results: a null text has no lines and stays null; texts without a repeated chunk stay as they
 are; rows of one key count as one document, all null keys as one; a document whose lines all went
-has the empty text; extra columns pass through, but for n_lines and n_removed_lines, which are made anew.
+has the empty text; texts of any length are compared whole; an empty table gives no rows; extra columns pass
+through, whatever their names, but for n_lines and n_removed_lines, which are made anew.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import SPACE_CHARS, lookup, staged, table, words
+from corpusloom.llm.common import OWN, SPACE_CHARS, lookup, packed, staged, table, words
 
 MIN_LINES = 2
+#: Columns that are made anew.
+COUNTS = ("n_lines", "n_removed_lines")
 #: A passage of more words than this goes wherever the boundaries of chunks fall.
 PASSAGE_WORDS = 50
 
@@ -53,52 +56,55 @@ def chunk_starts(lines: Column) -> Column:
 
 
 def with_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows with _th (hash of the text), _lines, _starts; null texts have null arrays."""
-    rows = docs.withColumn("_th", F.xxhash64(F.col(text))).withColumn("_lines", F.split(F.col(text), "\n"))
+    """Rows as one column, with _k, _text, _th (hash of the text), _lines, _starts; null texts have null arrays."""
+    rows = docs.select(packed(docs), F.col(key).alias("_k"), F.col(text).alias("_text"))
+    rows = rows.withColumn("_th", F.xxhash64("_text")).withColumn("_lines", F.split("_text", "\n"))
     return rows.withColumn("_starts", chunk_starts(F.col("_lines")))
 
 
-def occurrences(rows: DataFrame, key: str) -> DataFrame:
+def _without(joined: DataFrame, docs: DataFrame, text: str, gone: str, left: Column) -> DataFrame:
+    """The rows as they came, with the lines that are left in place of a text of which some are gone, and the counts of lines."""
+    joined = joined.withColumn("_left", left)
+    untouched = F.col(gone).isNull()
+    shown = [F.when(untouched, F.col("_text")).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(OWN + "row").getField(c).alias(c) for c in docs.columns if c not in COUNTS]
+    n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_lines"))
+    return joined.select(*shown, n.cast("bigint").alias(COUNTS[0]), F.when(untouched, F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("bigint").alias(COUNTS[1]))
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
     """One row per chunk that can be removed: _k, _th, idx, chunk (text), h."""
 
     def chunk(s: Column, j: Column) -> Column:
         n = F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_lines")) - s
         return F.struct(j.alias("idx"), n.alias("n"), F.array_join(F.slice(F.col("_lines"), s + 1, n), "\n").alias("chunk"))
 
-    each = rows.select(F.col(key).alias("_k"), "_th", F.explode(F.transform("_starts", chunk)).alias("c"))
+    each = rows.select("_k", "_th", F.explode(F.transform("_starts", chunk)).alias("c"))
     each = each.where((F.col("c.n") >= MIN_LINES) & (F.translate(F.col("c.chunk"), SPACE_CHARS, "") != ""))
     return each.select("_k", "_th", "c.idx", "c.chunk", F.md5(F.col("c.chunk").cast("binary")).alias("h"))
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with repeated chunks taken out of `text`, and n_lines and n_removed_lines."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     rows = with_chunks(docs, key, text)
-    every = occurrences(rows.select(F.col(key), "_th", "_lines", "_starts"), key)
+    every = occurrences(rows.select("_k", "_th", "_lines", "_starts"))
     repeated = every.groupBy("h").agg(F.min("_k").alias("_keeper"), F.count(F.lit(1)).alias("_n"))
     repeated = staged(repeated.where("_n > 1").select(F.col("h").alias("_h"), "_keeper"), "repeated")
     hits = staged(lookup(every, repeated, F.col("h"), "_h", how="inner"), "hits")
     own = F.col("_k").eqNullSafe(F.col("_keeper"))
-    first = hits.where(own).groupBy("h").agg(F.min("idx").alias("_first_idx"), F.min_by("chunk", "idx").alias("_first_chunk"))
-    judged = hits.join(first, "h")
+    first = hits.where(own).groupBy(F.col("h").alias("_h")).agg(F.min("idx").alias("_first_idx"), F.min_by("chunk", "idx").alias("_first_chunk"))
+    # a passage that much of the corpus shares is a hot key here, which lookup deals to many tasks
+    judged = lookup(hits, staged(first, "firsts"), F.col("h"), "_h", how="inner")
     gone = judged.where((F.col("chunk") == F.col("_first_chunk")) & ~(own & (F.col("idx") == F.col("_first_idx"))))
     gone = staged(gone.groupBy(F.struct(F.col("_k"), F.col("_th")).alias("_row")).agg(F.collect_set("idx").alias("_gone")), "gone")
-    joined = lookup(rows, gone, F.struct(F.col(key).alias("_k"), F.col("_th")), "_row")
+    joined = lookup(rows, gone, F.struct(F.col("_k"), F.col("_th")), "_row")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_starts") - F.lit(1)), F.col("_gone"))
 
     def lines_of(j: Column) -> Column:
         s = F.get(F.col("_starts"), j)
         return F.slice(F.col("_lines"), s + 1, F.coalesce(F.get(F.col("_starts"), j + 1), F.size("_lines")) - s)
 
-    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.flatten(F.transform(stay, lines_of)))
-    out = joined.withColumn("_left", left)
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
-    return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in keep],
-        n.cast("bigint").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("bigint").alias("n_removed_lines"),
-    )
+    left = F.when(F.col("_gone").isNotNull(), F.flatten(F.transform(stay, lines_of)))
+    return _without(joined, docs, text, "_gone", left)
 
 
 def _bound(value: Column, use) -> Column:
@@ -138,7 +144,7 @@ def passage_runs(lines: Column) -> Column:
     return _bound(F.transform(lines, lambda x: F.size(words(x))), runs)
 
 
-def _signed_runs(rows: DataFrame, key: str) -> DataFrame:
+def _signed_runs(rows: DataFrame) -> DataFrame:
     """One row per chunk or run of a passage: _k, _th, s (first line), n (lines), sig."""
 
     def chunk(s: Column, j: Column) -> Column:
@@ -153,14 +159,13 @@ def _signed_runs(rows: DataFrame, key: str) -> DataFrame:
         return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n"), sig(r).alias("sig")))
 
     made = _bound(F.transform("_lines", lambda x: F.sha2(x, 256)), signed)
-    return rows.select(F.col(key).alias("_k"), "_th", F.explode(made).alias("c")).select("_k", "_th", "c.s", "c.n", "c.sig")
+    return rows.select("_k", "_th", F.explode(made).alias("c")).select("_k", "_th", "c.s", "c.n", "c.sig")
 
 
 def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows without repeated chunks and repeated passages of over PASSAGE_WORDS words in `text`, and n_lines and n_removed_lines."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     rows = with_chunks(docs, key, text)
-    every = staged(_signed_runs(rows.select(F.col(key), "_th", "_lines", "_starts"), key), "runs")
+    every = staged(_signed_runs(rows.select("_k", "_th", "_lines", "_starts")), "runs")
     place = F.struct(F.col("_k").isNull().alias("last"), F.col("_k").alias("k"), F.col("_th").alias("th"), F.col("s").alias("s"))
     firsts = every.groupBy("sig").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
     firsts = staged(firsts.where("_n > 1").select(F.col("sig").alias("_sig"), "_first"), "firsts")
@@ -170,20 +175,15 @@ def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     begin = F.when(own, F.greatest(F.col("s"), F.col("_first.s") + F.col("n"))).otherwise(F.col("s"))
     spans = hits.select("_k", "_th", F.struct(begin.alias("a"), (F.col("s") + F.col("n") - 1).alias("z")).alias("span"))
     gone = spans.groupBy(F.struct(F.col("_k"), F.col("_th")).alias("_row")).agg(F.collect_set("span").alias("_spans"))
-    joined = lookup(rows, staged(gone, "gone"), F.struct(F.col(key).alias("_k"), F.col("_th")), "_row")
+    joined = lookup(rows, staged(gone, "gone"), F.struct(F.col("_k"), F.col("_th")), "_row")
     out = F.flatten(F.transform("_spans", lambda x: F.sequence(x["a"], x["z"])))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - F.lit(1)), out)
     left = F.when(F.col("_spans").isNotNull(), F.transform(stay, lambda i: F.get(F.col("_lines"), i)))
-    joined = joined.withColumn("_left", left)
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_lines"))
-    return joined.select(
-        *[F.when(F.col("_left").isNull(), F.col(c)).otherwise(F.array_join("_left", "\n")).alias(c) if c == text else F.col(c) for c in keep],
-        n.cast("bigint").alias("n_lines"),
-        F.when(F.col("_left").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("bigint").alias("n_removed_lines"),
-    )
+    return _without(joined, docs, text, "_spans", left)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of chunks takes from each document, as the SQL states it; all cases as the module says."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
