@@ -426,6 +426,28 @@ def test_top_k_of_hard_rows(spark):
     assert topk_search.top_k(rows.where("false"), rows.where("false")).count() == 0
 
 
+def test_two_vectors_of_one_queried_id(spark):
+    vs = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [0.0, 0.5])]
+    rows = spark.createDataFrame([(k, v, "x", "y") for k, v in vs], "vec_id bigint, embedding array<double>, query string, rank string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(rows, rows.where("vec_id = 100"), 2).collect())
+    assert got == sorted([(100, 1, 1, 512 * 1024), (100, 2, 2, 0), (100, 1, 2, 512 * 1024), (100, 2, 1, 256 * 1024)])
+
+
+@pytest.mark.parametrize("seeds", [16, 4096])
+def test_top_k_in_blocks_of_queries_equals_brute_force(spark, seeds, monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk_search, "SEEDS", seeds)
+    rng = np.random.default_rng(4)
+    vs = np.floor(rng.normal(size=(400, 24)) * 300).astype(np.int64)
+    vs[:, 5] *= 40
+    vs[200:210] = vs[0]
+    rows = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in enumerate(vs)], "vec_id bigint, embedding array<double>").repartition(5)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(rows, rows.where("vec_id % 20 = 0"), 6).collect())
+    scores = vs @ vs.T
+    want = [(q, n + 1, i, -s) for q in range(0, 400, 20) for n, (s, i) in enumerate(sorted((-int(scores[q, i]), i) for i in range(400) if i != q)[:6])]
+    assert got == want
+
+
 def test_branch_and_bound_is_exact_and_prunes():
     rng = np.random.default_rng(3)
     cols = np.floor(rng.normal(size=(64, 3000)) * 100)
