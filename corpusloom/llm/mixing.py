@@ -5,14 +5,16 @@ MAX_REPEATS times its size; blocks of BLOCK tokens go to the sources by highest
 (target / 1, 3, 5, ...), and each source's quota goes in the same way to its shards, in proportion
 to their tokens. A shard is a seeded hash bucket of documents laid end to end in seeded order: its
 quota is as many whole passes over the line as fit, and then the blocks from a seeded start round
-the line. So the words taken of a document follow from its place in the line alone.
+the line. So the words taken of a document follow from its place in the line alone, and documents stay whole
+but for two a shard; blocks drawn one by one would leave snippets of BLOCK words.
 
 At most MAX_SHARDS shards a source bound what apportionment sees; there is one row per source in
 the plan of sources. Only document keys and sizes are shuffled (and columns asked to be carried).
 
 Defined results: a null text has size 0 and is taken 0 words; null is a source of its own, last in
-order; a corpus without words has targets of 0; rows of one key and size are interchangeable, so
-repeated rows give a defined multiset; nothing is read but the named columns.
+order; a corpus without words has targets of 0; texts of any length count with all their words; rows of one key,
+size and text are interchangeable, so repeated rows give a defined multiset; an empty table gives no rows; nothing is
+read but the named columns, and mixed_documents passes others on whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import SPACES, lookup, staged, table, words
+from corpusloom.llm.common import OWN, SPACES, lookup, staged, table, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK = 8
 SHARD_DOCS = 256
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 18
 SEED = 20
 
 
@@ -121,8 +123,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     Columns: key, those carried, size, source_size, target, taken, passes (whole copies), and
     pieces: up to two ranges of words [start, end) taken once more.
     """
-    rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
-    slim = staged(rows.select("_k", "_source", "size"), "sizes")
+    rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    slim = staged(rows.select("_k", "_source", "size", "_t"), "sizes")
     by_source = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     kind = slim.schema["_source"].dataType.simpleString()
     sources = staged(
@@ -144,7 +146,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     )
     full = placed(rows if carry else slim)
     full = lookup(full.withColumn("_at", F.col("src") * F.lit(MAX_SHARDS) + F.col("shard")), shards, F.col("_at"), "shard_key")
-    line = Window.partitionBy("_at").orderBy(F.xxhash64("_k", F.lit(seed + 1)), "_k", "size")
+    line = Window.partitionBy("_at").orderBy(F.xxhash64("_k", F.lit(seed + 1)), "_k", "size", "_t")
     n = F.col("shard_tokens")
     asked = F.least(F.col("shard_quota") * F.lit(block), n * F.lit(MAX_REPEATS))
     passes = F.expr(f"if(shard_tokens > 0, least(shard_quota * {block}, shard_tokens * {MAX_REPEATS}) div shard_tokens, 0L)")
@@ -170,17 +172,19 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
 
 def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The mixed corpus itself: a row for every whole copy, and one with the words of every further piece."""
-    keep = docs.columns
-    held = docs.select(F.col(key).alias("_doc"), F.col(source).alias("_from"), F.col(text).alias("_whole"), F.struct(*[c for c in keep if c != text]).alias("_row"))
-    taken = mix(held, key="_doc", source="_from", text="_whole", carry=("_whole", "_row"))
+    row = OWN + "row"
+    held = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias(row))
+    taken = mix(held, key="k", source="s", text="t", carry=("t", row))
     whole = F.struct(F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
-    parts = taken.withColumn("_part", F.explode(F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.col("pieces"))))
-    cut = F.slice(words(F.col("_whole")), (F.col("_part.start") + 1).cast("int"), (F.col("_part.end") - F.col("_part.start")).cast("int"))
-    parts = parts.withColumn("_new", F.when(F.col("_part.start") < 0, F.col("_whole")).otherwise(F.array_join(cut, " ")))
-    return parts.select(*[F.col("_new").alias(c) if c == text else F.char_length("_new").cast(docs.schema[c].dataType).alias(c) if c == chars else F.col(f"_row.{c}") for c in keep])
+    parts = taken.withColumn("part", F.explode(F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.col("pieces"))))
+    cut = F.slice(words(F.col("t")), (F.col("part.start") + 1).cast("int"), (F.col("part.end") - F.col("part.start")).cast("int"))
+    parts = parts.withColumn("new", F.when(F.col("part.start") < 0, F.col("t")).otherwise(F.array_join(cut, " ")))
+    shown = {text: F.col("new")} | ({chars: F.char_length("new").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})
+    return parts.select(*[shown.get(c, F.col(row).getField(c)).alias(c) for c in docs.columns])
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; all cases as the module says."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
