@@ -171,12 +171,12 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
 
 
 def mixed_documents(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """The mixed corpus itself: a row for every whole copy, and one with the words of every further piece."""
+    """The mixed corpus itself: a row for every whole copy, and one with the words of every further piece; texts without words give none."""
     row = OWN + "row"
     held = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias(row))
     taken = mix(held, key="k", source="s", text="t", carry=("t", row))
     whole = F.struct(F.lit(-1).cast("bigint").alias("start"), F.lit(-1).cast("bigint").alias("end"))
-    parts = taken.withColumn("part", F.explode(F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.col("pieces"))))
+    parts = taken.where("size > 0").withColumn("part", F.explode(F.concat(F.array_repeat(whole, F.col("passes").cast("int")), F.col("pieces"))))
     cut = F.slice(words(F.col("t")), (F.col("part.start") + 1).cast("int"), (F.col("part.end") - F.col("part.start")).cast("int"))
     parts = parts.withColumn("new", F.when(F.col("part.start") < 0, F.col("t")).otherwise(F.array_join(cut, " ")))
     shown = {text: F.col("new")} | ({chars: F.char_length("new").cast(docs.schema[chars].dataType)} if chars in docs.columns else {})

@@ -1,25 +1,179 @@
-"""The pipeline's stages on the smallest tables."""
+"""The pipeline's stages on the smallest tables, each against a plain version of it, and on hard rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter
 
 import corpus_pipeline
-from test_llm_queries import FOLDER, brute_links
+import pytest
+from pyspark.sql import functions as F
+from test_llm_queries import FOLDER, WORD, brute_links
 
+from corpusloom.llm import sentencepiece_codec
 from corpusloom.llm.common import staged
 
 
+def plain_quality(text):
+    """Whether a text passes all rules, by counting."""
+    words = WORD.findall(text or "")
+    n = len(words)
+    windows = [tuple(words[i : i + 8]) for i in range(n - 7)]
+    often = Counter(windows)
+    repeated = len({j for i, w in enumerate(windows) if often[w] > 1 for j in range(i, i + 8)})
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    chars = sum(map(len, words))
+    fails = (
+        n < 20, 100 * repeated > 30 * n, 10 * len(re.findall(r"[#*$%&|<>]", text or "")) > n, 2 * (len(lines) - len(set(lines))) > len(lines),
+        chars < 2 * n or chars > 14 * n, 2 * len(re.findall("[A-Z]", text or "")) > chars, 5 * (text or "").count("!") > n,
+    )
+    return not any(fails)
+
+
+def plain_chunks(lines):
+    """Chunks of the law as (start, end), by its words."""
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    h = [md5(x) for x in lines]
+    r = [md5((h[i - 1] if i else "") + h[i]) for i in range(len(h))]
+    starts = [i for i in range(len(r)) if i == 0 or i < len(r) - 1 and r[i] < r[i - 1] and r[i] < r[i + 1]]
+    return list(zip(starts, [*starts[1:], len(lines)]))
+
+
+def plain_dedup(texts):
+    """Texts by key without chunks of two lines and shortest passages of over 50 words that came before."""
+    first, out = {}, {}
+    for k in sorted(texts):
+        lines = texts[k].split("\n")
+        count = [len(WORD.findall(x)) for x in lines]
+        runs = {(a, z) for a, z in plain_chunks(lines) if z - a >= 2 and any(count[a:z])}
+        places = [i for i, c in enumerate(count) if c]
+        for n, i in enumerate(places):
+            for direction in (1, -1):
+                total, j = 0, n
+                while 0 <= j < len(places):
+                    total += count[places[j]]
+                    if total > 50:
+                        runs.add((min(i, places[j]), max(i, places[j]) + 1))
+                        break
+                    j += direction
+        gone = set()
+        for a, z in sorted(runs):
+            at = first.setdefault(tuple(lines[a:z]), (k, a))
+            if at != (k, a):
+                gone |= set(range(max(a, at[1] + z - a) if at[0] == k else a, z))
+        out[k] = texts[k] if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return {k: t for k, t in out.items() if t == texts[k] or WORD.search(t)}
+
+
+def plain_ids(codec, text, seen={}):  # noqa: B006
+    """Ids by a table of all pieces, word by word; of equal totals that whose last piece is longest."""
+    if "pieces" not in seen:
+        seen["pieces"] = {p.replace("▁", " "): i for i, (p, _, t) in enumerate(codec.pieces) if t in (1, 4) and p}
+    pieces, out = seen["pieces"], []
+    for unit in re.findall(" *[^ \n]+| +|\n", " " + text) if text else []:
+        if unit not in seen:
+            best = [(0.0, [])] + [(-math.inf, None)] * len(unit)
+            for end in range(1, len(unit) + 1):
+                for start in range(end):
+                    piece = pieces.get(unit[start:end])
+                    if piece is None and (end - start > 1 or unit[start:end] in pieces):
+                        continue
+                    ids = [piece] if piece is not None else [codec.bytes_ids[b] for b in unit[start:end].encode()]
+                    score = best[start][0] + (codec.scores[piece] if piece is not None else codec.unknown_score)
+                    if score > best[end][0]:
+                        best[end] = score, best[start][1] + ids
+            seen[unit] = best[-1][1]
+        out += seen[unit]
+    return out
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, types = docs.columns, docs.dtypes
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    codec = sentencepiece_codec.load()
     for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id: r.text for r in docs.collect()} if name != "sentencepiece" else {}
+        rows = docs.collect()
+        before = {r.doc_id: r.text for r in rows}
         docs = staged(stage(spark, docs, FOLDER), name)
         if name != "sentencepiece":
             assert docs.columns == columns and docs.dtypes == types
-        ids = [r.doc_id for r in docs.collect()]
+        after = docs.collect()
+        ids = [r.doc_id for r in after]
         if name == "quality_rules":
+            assert sorted(ids) == sorted(k for k, t in before.items() if plain_quality(t))
             long = {k for k, t in before.items() if labels.get(k) == 1 and len(t.split()) >= 20}
             assert len(long - set(ids)) <= 0.02 * len(long)
             assert sum(labels.get(k) == 0 for k in ids) <= 0.2 * sum(v == 0 for v in labels.values())
+        if name == "line_dedup":
+            assert {r.doc_id: r.text for r in after} == plain_dedup(before) and all(r.n_chars == len(r.text) for r in after)
         if name == "ngram_jaccard_join":
             assert sorted(ids) == sorted({c for c, _ in brute_links(before).values()})
+        if name == "source_mixing":
+            size = Counter()
+            for r in rows:
+                size[r.source] += len(WORD.findall(r.text))
+            got, total = Counter(), sum(size.values())
+            for r in after:
+                got[r.source] += len(WORD.findall(r.text))
+                assert r.text == before[r.doc_id] or f" {r.text} " in " " + " ".join(WORD.findall(before[r.doc_id])) + " "
+            target, free = {}, dict(zip(sorted(size), (5, 2, 1) * len(size)))
+            while free:
+                level = (total - sum(target.values())) / sum(free.values())
+                over = [s for s in free if level * free[s] > 3 * size[s]]
+                target |= {s: 3 * size[s] for s in over} if over else {s: level * w for s, w in free.items()}
+                free = {s: w for s, w in free.items() if s not in target}
+            assert all(abs(got[s] - target[s]) <= 16 for s in size)
+            assert max(Counter(ids).values()) <= 4
+        if name == "sentencepiece":
+            coded = Counter((r.doc_id, tuple(r.ids)) for r in after)
+            assert coded == Counter((r.doc_id, tuple(plain_ids(codec, r.text))) for r in rows)
     assert docs.where("not round_trip").count() == 0 and docs.count() > 0
+
+
+def prose(seed, n):
+    import random
+
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+
+
+NAMES = "_key _k _th _text _lines _starts _left _gone _row _spans _node _known _stays _class _copies _again _twice failed_rule n_lines n_removed_lines k t s part new size taken __loom_key __loom_salt".split()
+
+
+def hard_rows(spark):
+    passage = "\n".join(prose(30 + i, 14) for i in range(5))
+    texts = [None, "", " \n ", "one", prose(1, 60), prose(1, 60), prose(2, 60), prose(3, 6000), prose(4, 40) + "\n" + passage, prose(5, 40) + "\n" + passage + "\n" + prose(6, 30), "ß 漢字 " * 30]
+    rows = [(None if i == 6 else i, t, "en", [None, "a", "b"][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[8], rows[0], (9, prose(7, 50), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in NAMES])
+
+
+@pytest.mark.parametrize("empty", [False, True])
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_of_hard_rows(spark, name, empty):
+    docs = hard_rows(spark)
+    docs = docs.where("false") if empty else docs
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER)
+    if name == "sentencepiece":
+        assert out.count() == docs.count() and out.where("not round_trip").count() == 0
+        return
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    rows = out.collect()
+    if empty:
+        assert rows == []
+        return
+    for r in rows:
+        assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in NAMES)
+    keys = Counter(r.doc_id for r in rows)
+    if name == "quality_rules":
+        assert keys == Counter([4, 4, 5, None, 7, 8, 8, 9, 9])
+    if name == "line_dedup":
+        # 5 is a copy of 4, in one line of over 50 words
+        assert keys == Counter([0, 0, 1, 2, 3, 4, 4, None, 7, 8, 8, 9, 9, 10])
+        assert {r.text for r in rows if r.doc_id == 9} == {prose(5, 40) + "\n" + prose(6, 30), prose(7, 50)}
+    if name == "ngram_jaccard_join":
+        assert keys == Counter([0, 0, 1, 2, 3, 4, None, 7, 8, 9, 9, 10])
+    if name == "source_mixing":
+        assert {0, 1, 2}.isdisjoint(keys) and all(r.n_chars == len(r.text) for r in rows)
