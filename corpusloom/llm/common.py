@@ -18,7 +18,7 @@ WORD_BREAK = rf"[{SPACES}]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: A side of a join with more rows or bytes than these is never broadcast.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 #: Pieces that a hot key's rows are dealt into.
 SALTS = 16

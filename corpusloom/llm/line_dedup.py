@@ -13,8 +13,8 @@ These chunks are the law that the SQL of op10 states. A shared passage whose end
 is lost to them, so dedup_passages compares, besides the chunks, the shortest run of lines of more
 than PASSAGE_WORDS words from each line on and up to each line. Two equal passages of more words have
 the same such runs, and these cover them from the first to the last line that has a word; each run
-is itself a passage of that length, so nothing else goes. A SHA-256 over the lines' SHA-256 stands
-for the bytes of a run. Runs are compared by key, then hash of the text, then place; null keys come last.
+is itself a passage of that length, so nothing else goes. The first SIG_BYTES of a SHA-256 over the lines' SHA-256 stand
+for the bytes of a run. What repeats is found first by counts of a short hash, so most runs are never moved whole. Runs are compared by key, then hash of the text, then place; null keys come last.
 Where a run overlaps its own first occurrence, the lines of that stay.
 
 Defined results: a null text has no lines and stays null; texts without a repeated chunk stay as they
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import OWN, SPACE_CHARS, lookup, packed, staged, table, words
 
 MIN_LINES = 2
+#: Bytes of a run's SHA-256 that stand for it.
+SIG_BYTES = 16
 #: Columns that are made anew.
 COUNTS = ("n_lines", "n_removed_lines")
 #: A passage of more words than this goes wherever the boundaries of chunks fall.
@@ -154,7 +156,7 @@ def _signed_runs(rows: DataFrame) -> DataFrame:
         return (r["n"] >= MIN_LINES) & F.exists(F.slice(F.col("_lines"), r["s"] + 1, r["n"]), lambda x: F.translate(x, SPACE_CHARS, "") != "")
 
     def signed(hashes: Column) -> Column:
-        sig = lambda r: F.unhex(F.sha2(F.array_join(F.slice(hashes, r["s"] + 1, r["n"]), ""), 256))
+        sig = lambda r: F.unhex(F.substring(F.sha2(F.array_join(F.slice(hashes, r["s"] + 1, r["n"]), ""), 256), 1, 2 * SIG_BYTES))
         runs = F.array_union(F.filter(F.transform("_starts", chunk), worded), passage_runs(F.col("_lines")))
         return F.transform(runs, lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n"), sig(r).alias("sig")))
 
@@ -167,9 +169,11 @@ def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     rows = with_chunks(docs, key, text)
     every = staged(_signed_runs(rows.select("_k", "_th", "_lines", "_starts")), "runs")
     place = F.struct(F.col("_k").isNull().alias("last"), F.col("_k").alias("k"), F.col("_th").alias("th"), F.col("s").alias("s"))
-    firsts = every.groupBy("sig").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    counts = every.groupBy(F.xxhash64("sig").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    again = staged(lookup(every, staged(counts, "repeated"), F.xxhash64("sig"), "_h", how="inner"), "again")
+    firsts = again.groupBy("sig").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
     firsts = staged(firsts.where("_n > 1").select(F.col("sig").alias("_sig"), "_first"), "firsts")
-    hits = lookup(every, firsts, F.col("sig"), "_sig", how="inner").where(place != F.col("_first"))
+    hits = lookup(again, firsts, F.col("sig"), "_sig", how="inner").where(place != F.col("_first"))
     # a run that overlaps its own first occurrence leaves the lines of that
     own = F.col("_k").eqNullSafe(F.col("_first.k")) & (F.col("_th") == F.col("_first.th"))
     begin = F.when(own, F.greatest(F.col("s"), F.col("_first.s") + F.col("n"))).otherwise(F.col("s"))
