@@ -5,19 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a session on this machine alone may do without and gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder or held.isDefined():
+        return folder or held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+    folder = tempfile.mkdtemp(prefix="corpusloom-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to Parquet under spark.checkpoint.dir (our own folder where unset) and read them back."""
+    """Write the rows to Parquet in the shared folder and read them back; the files go when the session's JVM ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="corpusloom-")
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/corpusloom/{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark).rstrip('/')}/corpusloom/{uuid.uuid4().hex}-{name}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)

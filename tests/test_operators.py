@@ -54,6 +54,38 @@ def test_claim_clusters_follow_the_seed(spark):
     assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 2, (2, 0): 0}
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=14), max_size=9))
+def test_claim_clusters_equal_the_mean_of_both_measures(texts):
+    from difflib import SequenceMatcher
+
+    def alike(a, b):
+        x, y = ({w for w in t.split() if len(w) > 2} for t in (a, b))
+        return ((len(x & y) / len(x | y) if x | y else 0.0) + SequenceMatcher(None, a, b).ratio()) / 2
+
+    words = [X.Wording(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert words[j].joins(words[i], 0.35) == (alike(texts[i], texts[j]) >= 0.35)
+
+
+def test_hashed_embedding_by_its_definition(spark):
+    import hashlib
+    import math
+    from collections import Counter
+
+    texts = ["Retrieval of retrieval, the Augmented generation a b", "", None, "the and of", "word word WORD four", "x9 y8"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.hash_embedding("t")).collect()]
+    for text, vector in zip(texts, got):
+        kept = [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if len(w) > 1 and w not in ("the", "and", "of")]
+        line, want = " ".join(kept), [0.0] * 256
+        for f, n in Counter(kept + [line[i : i + 4] for i in range(len(line) - 3)]).items():
+            at = int(hashlib.blake2b(f.encode(), digest_size=8).hexdigest(), 16) % 256
+            odd = hashlib.blake2b(f.encode(), digest_size=1, person=b"sign").digest()[0] % 2
+            want[at] += (1 if odd else -1) * (1 + math.log(n))
+        size = math.sqrt(sum(v * v for v in want))
+        assert vector == [v / size if size else 0.0 for v in want] or max(abs(a - b / (size or 1)) for a, b in zip(vector, want)) < 1e-12
+
+
 def test_structural_chunks():
     b = pd.DataFrame({"text": ["Head", "Sub", "x" * 100, "y" * 2400, "z" * 50, "End"], "is_heading": [True, True, False, False, False, True], "heading_path": [["h"]] * 6, "page": [1] * 6})
     # the two headings are too short to stand alone, so they go with what follows; a group over the limit is cut between blocks
@@ -91,8 +123,7 @@ def test_stream_of_revisions(spark, tmp_path):
 
 
 def test_hash_embedding_is_a_unit_vector_of_words():
-    a, b, c = X.embedded("retrieval quality"), X.embedded("Retrieval, quality!"), X.embedded("zebra")
-    assert a == b and abs(sum(v * v for v in a) - 1) < 1e-12 and a != c
-    assert X.embedded(None) == X.embedded(" ! ") == [0.0] * X.DIMENSIONS
-    weight = X.embedded("ab ab ab")
-    assert max(map(abs, weight)) <= 1
+    a, b, c, none, blank, same = X.embedded(pd.Series(["retrieval quality", "Retrieval, quality!", "zebra", None, " ! ", "ab ab ab"]))
+    assert (a == b).all() and abs((a**2).sum() - 1) < 1e-12 and (a != c).any()
+    assert (none == 0).all() and (blank == 0).all() and len(none) == X.DIMENSIONS
+    assert abs(same).max() <= 1

@@ -22,6 +22,26 @@ def test_scan_and_statuses(spark, folder):
     assert texts == {"A/x.md": "# X\r\nbody", "A/B/y.MD": "y"}
 
 
+def test_files_of_one_name_in_nested_folders(spark, tmp_path):
+    for name in ("A/x.md", "B/A/x.md", "B/(odd) [folder]+/x.md"):
+        f = tmp_path / "a.b (v)" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(f"text of {name}")
+    got = sorted((r.path, r.text) for r in V.read_markdown(spark, str(tmp_path / "a.b (v)")).collect())
+    assert got == [(n, f"text of {n}") for n in ("A/x.md", "B/(odd) [folder]+/x.md", "B/A/x.md")]
+
+
+def test_parsers_are_called_and_their_failures_are_statuses(spark, folder):
+    def words_of_pdf(raw):
+        if raw.startswith(b"%PDF"):
+            return raw.decode()[1:]
+        raise ValueError("no PDF")
+
+    got = {r.path: (r.status, r.text) for r in V.parsed(spark, folder, {"pdf": words_of_pdf, "png": lambda raw: 1 / 0}).collect()}
+    assert got == {"A/x.md": ("ingested", "# X\r\nbody"), "A/B/y.MD": ("ingested", "y"), "doc.pdf": ("ingested", "PDF"), "pic.png": ("parse_failed", None)}
+    assert {r.path: r.status for r in V.parsed(spark, folder, {}).collect()}["doc.pdf"] == "unsupported"
+
+
 def test_incremental_and_upsert(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
     stored = spark.createDataFrame([("a", "1"), ("b", "x")], "path string, content_hash string")
