@@ -1,5 +1,7 @@
 """Text functions built from Spark expressions: tokens and identifiers."""
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -7,10 +9,38 @@ from pyspark.sql import functions as F
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 
+#: Blocks of Latin letters, as ranges of code points.
+LATIN = ((0x00C0, 0x0250), (0x1E00, 0x1F00))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and what each is without them."""
+    marked, plain = "", ""
+    for low, high in LATIN:
+        for c in map(chr, range(low, high)):
+            base = unicodedata.normalize("NFD", c)
+            if len(base) > 1 and len(base[0]) == 1 and unicodedata.category(base[0])[0] == "L":
+                marked, plain = marked + c, plain + base[0]
+    return marked, plain
+
+
+MARKED, PLAIN = _plain_letters()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the marks of letters, as full-text tokens are compared; texts of ASCII letters alone cost nothing more."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), MARKED, PLAIN)).otherwise(low)
+
+
+def fold(text: str) -> str:
+    """The same of a text on the driver."""
+    return "".join(c for c in text.lower() if unicodedata.category(c) != "Mn").translate(str.maketrans(MARKED, PLAIN))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case alphanumeric tokens in order; null text has none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_BREAK)
-    return F.filter(parts, lambda t: t != F.lit(""))
+    """Lower-case alphanumeric tokens without marks, in order; null text has none."""
+    return F.array_remove(F.split(folded(F.coalesce(text, F.lit(""))), TOKEN_BREAK), "")
 
 
 def normalized_text(text: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators.search import B, IDF_FLOOR, K1, bm25, filtered_search, query_phrases, title_boost, top_k
+from corpusloom.operators.search import B, IDF_FLOOR, K1, Index, best_span, filtered_search, query_phrases, span_filter, title_boost, top_k, write_index
 from corpusloom.operators.vectors import compare_runs, cosine_to, hybrid_minmax, hybrid_product, ranked, score_queries, summarize
+from corpusloom.sources.staging import shared_folder
 from corpusloom.sources.tables import table
 
 OR_QUERY = "the erin que auf"
@@ -20,6 +24,27 @@ BOOST = 1.5
 EVAL_QUERIES = (0, 50, 100, 150, 200, 250, 300, 350, 400, 450)
 
 
+#: A batch of queries as users ask them: words, all of them or some, phrases, letters with marks.
+BATCH = (
+    "the erin", "que de la", "auf", "of-the", "señor ción", "SENOR CION", "ing that", "the-of", "ere", "er es en", "und", "é", "que-de", "thth", "ble thre",
+    "nothing-like-it", "la", "was her", "eaux", "tion", "with from", "are-is", "ous", "Ÿ",
+)
+
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents of a folder, written once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        path = f"{shared_folder(spark).rstrip('/')}/corpusloom/{uuid.uuid4().hex}-index"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        write_index(_docs(spark, sf_dir), path)
+        _indexes[at] = Index(spark, path)
+    return _indexes[at]
+
+
 def _found(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -29,29 +54,60 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(bm25(_docs(spark, sf_dir), OR_QUERY), LIMIT))
+    return _found(top_k(_index(spark, sf_dir).one(OR_QUERY), LIMIT))
 
 
 def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(bm25(_docs(spark, sf_dir), AND_QUERY, mode="and"), LIMIT))
+    return _found(top_k(_index(spark, sf_dir).one(AND_QUERY, mode="and"), LIMIT))
 
 
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(bm25(_docs(spark, sf_dir), PHRASE_QUERY), LIMIT))
+    return _found(top_k(_index(spark, sf_dir).one(PHRASE_QUERY), LIMIT))
 
 
 def bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(bm25(_docs(spark, sf_dir), PREFIX_QUERY, prefix=True), LIMIT))
+    return _found(top_k(_index(spark, sf_dir).one(PREFIX_QUERY, prefix=True), LIMIT))
+
+
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _index(spark, sf_dir).best(list(BATCH), LIMIT)
+    return best.select("qid", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return _found(filtered_search(bm25(docs, OR_QUERY), docs, F.col("lang") == "en", LIMIT))
+    return _found(filtered_search(_index(spark, sf_dir).one(OR_QUERY), _docs(spark, sf_dir), F.col("lang") == "en", LIMIT))
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as spans: the source and language make locator and headings, the key the page."""
+    kind, tier = F.when(F.col("lang") == "en", "page").otherwise("note"), F.when(F.col("source") < "src3", "high").otherwise("low")
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.concat_ws("/", F.lit("./Vault"), "source", "lang").alias("locator"), kind.alias("kind"), tier.alias("trust_tier"),
+        F.pmod("doc_id", F.lit(3)).alias("page"), F.array(F.initcap("source"), F.upper("lang")).alias("heading_path"), "source",
+    )
+
+
+#: Each filter alone, and all together.
+FILTERS = {
+    "source": {"source": "VAULT/src1"}, "exclude": {"exclude": ("./Vault/src0", "Vault/src2/en")}, "kind": {"kinds": ("note",)}, "trust": {"trust": ("high", "user")}, "page": {"page": 2},
+    "heading": {"heading": "src4 > e"}, "all": {"source": "src", "exclude": ("Vault/src5",), "kinds": ("page",), "trust": ("high",), "page": 1, "heading": " > en"},
+}
+
+
+def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of the fifty best that each set of filters lets pass."""
+    scored, located = top_k(_index(spark, sf_dir).one(OR_QUERY), 5 * LIMIT), _located(spark, sf_dir)
+    parts = [_found(filtered_search(scored, located, span_filter(**f), LIMIT, candidates=0)).withColumn("filter", F.lit(name)) for name, f in FILTERS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def best_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best document of each source, as the best span of a document."""
+    return best_span(_index(spark, sf_dir).one(OR_QUERY, key="span_id"), _docs(spark, sf_dir).select(F.col("doc_id").alias("span_id"), F.col("source").alias("document_id"))).withColumn("score", F.round("score", 6))
 
 
 def bm25_title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return _found(top_k(title_boost(bm25(docs, OR_QUERY), docs, OR_QUERY, BOOST), LIMIT))
+    return _found(top_k(title_boost(_index(spark, sf_dir).one(OR_QUERY), _docs(spark, sf_dir), OR_QUERY, BOOST), LIMIT))
 
 
 def _cos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +120,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(bm25(_docs(spark, sf_dir), OR_QUERY), 5 * LIMIT).withColumnRenamed("score", "lex")
+    return top_k(_index(spark, sf_dir).one(OR_QUERY), 5 * LIMIT).withColumnRenamed("score", "lex")
 
 
 def hybrid_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +169,7 @@ def bm25_sql(query: str, mode: str = "or", prefix: bool = False) -> str:
     )
     join = " AND " if mode == "and" else " OR "
     return rf"""
-tk AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+tk AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
 tfs AS (SELECT doc_id, len(t) AS len, {', '.join(tf)} FROM tk),
 tot AS (SELECT count(*)::DOUBLE AS n, avg(len) AS avg_len, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(phrases)))} FROM tfs),
 s AS (SELECT doc_id, ({terms})::DOUBLE AS score FROM tfs, tot WHERE {join.join(f'tf{i} > 0' for i in range(len(phrases)))})"""
@@ -141,6 +197,21 @@ sc{name} AS (SELECT query_id, label, count(*) FILTER (rel) AS n, count(*) FILTER
 q{name} AS (SELECT query_id, label, h5 / n AS recall_5, h10 / n AS recall_10, h5 / 5 AS precision_5, mrr::DOUBLE AS mrr, h10 = 0 AS miss FROM sc{name})"""
 
 
+def _batch_sql() -> str:
+    """The batch, each query by itself."""
+    parts = [f"SELECT {i} AS qid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM (WITH {bm25_sql(q)} SELECT doc_id, score FROM s)" for i, q in enumerate(BATCH)]
+    return f"SELECT qid, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM ({' UNION ALL '.join(parts)}) WHERE rank <= {LIMIT}"
+
+
+_LOCATED = """
+l AS (SELECT doc_id, './Vault/' || source || '/' || lang AS loc, CASE WHEN lang = 'en' THEN 'page' ELSE 'note' END AS kind, CASE WHEN source < 'src3' THEN 'high' ELSE 'low' END AS tier,
+      doc_id % 3 AS page, lower(source || ' > ' || lang) AS head FROM documents)"""
+_FILTER_SQL = {
+    "source": "contains(lower(loc), 'vault/src1')", "exclude": "NOT starts_with(loc, './Vault/src0') AND NOT starts_with(loc, './Vault/src2/en')", "kind": "kind = 'note'",
+    "trust": "tier = 'high'", "page": "page = 2", "heading": "contains(head, 'src4 > e')",
+    "all": "contains(loc, 'src') AND NOT starts_with(loc, './Vault/src5') AND kind = 'page' AND tier = 'high' AND page = 1 AND contains(head, ' > en')",
+}
+
 _SUMMARY = "count(*) AS queries, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(precision_5), 6) AS precision_5, round(avg(mrr), 6) AS mrr, count(*) FILTER (miss) AS misses"
 _TERMS = [t for t in OR_QUERY.split() if len(t) > 2]
 
@@ -149,7 +220,10 @@ QUERIES = {
     "bm25_and_topk": bm25_and_topk,
     "bm25_phrase": bm25_phrase,
     "bm25_prefix": bm25_prefix,
+    "bm25_batch": bm25_batch,
     "bm25_filtered": bm25_filtered,
+    "search_filters": search_filters,
+    "best_spans": best_spans,
     "bm25_title_boost": bm25_title_boost,
     "vector_topk": vector_topk,
     "hybrid_product": hybrid_product_topk,
@@ -165,6 +239,11 @@ ORACLES = {
     "bm25_filtered": f"""WITH {bm25_sql(OR_QUERY)},
 p AS (SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 50),
 f AS (SELECT p.* FROM p JOIN documents USING (doc_id) WHERE lang = 'en') {_top('f')}""",
+    "bm25_batch": _batch_sql(),
+    "search_filters": f"WITH {bm25_sql(OR_QUERY)}, {_LOCATED}, p AS (SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT {5 * LIMIT}), "
+    + "m AS (" + " UNION ALL ".join(f"SELECT '{n}' AS filter, doc_id, score FROM p JOIN l USING (doc_id) WHERE {c}" for n, c in _FILTER_SQL.items())
+    + f") SELECT filter, doc_id, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY filter ORDER BY m.score DESC, doc_id) <= {LIMIT}",
+    "best_spans": f"WITH {bm25_sql(OR_QUERY)} SELECT source AS document_id, doc_id AS span_id, round(score, 6) AS score FROM s JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY source ORDER BY s.score DESC, doc_id) = 1",
     "bm25_title_boost": f"""WITH {bm25_sql(OR_QUERY)},
 b AS (SELECT doc_id, score * CASE WHEN {' OR '.join(f"contains(lower(string_split(text, chr(10))[1]), '{t}')" for t in _TERMS)} THEN {BOOST} ELSE 1 END AS score
       FROM s JOIN documents USING (doc_id)) {_top('b')}""",
