@@ -51,6 +51,15 @@ def stats(docs: DataFrame, *by: str, text: str = "text") -> DataFrame:
     )
 
 
+def by_folder(files: DataFrame, *, path: str = "path", text: str = "text") -> DataFrame:
+    """Files, lines and files with frontmatter of each top folder, files beside the folders under (root): folder, files, lines, with_frontmatter."""
+    from corpusloom.operators.frontmatter import block_end
+
+    folder = F.when(F.instr(path, "/") > 0, F.substring_index(path, "/", 1)).otherwise("(root)")
+    has = block_end(F.split(F.coalesce(F.col(text), F.lit("")), "\n")) > 0
+    return files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum(line_count(F.col(text))).alias("lines"), F.count_if(has).alias("with_frontmatter"))
+
+
 def filename_style(name: Column) -> Column:
     """Naming convention of a file name; the first that fits."""
     return (

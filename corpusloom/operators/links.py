@@ -21,9 +21,14 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.md$", "")
 
 
+#: Patterns of links.
+WIKILINK = r"\[\[([^\[\]]+?)\]\]"
+MARKDOWN_LINK = r'(?<!!)\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
+
+
 def wikilinks(lines: DataFrame, *, text: str = "text") -> DataFrame:
-    """One row per [[target#anchor|alias]] with a target: the line's columns, target, anchor, alias."""
-    found = lines.withColumn("_raw", F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[\[([^\[\]]+?)\]\]"), F.lit(1))))
+    """One row per [[target#anchor|alias]] with a target: the line's columns, target, anchor, alias. Lines come without code (frontmatter.prose_lines)."""
+    found = lines.withColumn("_raw", F.explode(F.regexp_extract_all(F.col(text), F.lit(WIKILINK), F.lit(1))))
     head = F.substring_index("_raw", "|", 1)
     alias = F.when(F.instr("_raw", "|") > 0, F.trim(F.expr("substring(_raw, instr(_raw, '|') + 1)")))
     anchor = F.when(F.instr(head, "#") > 0, F.trim(F.regexp_extract(head, r"#(.*)$", 1)))
@@ -33,7 +38,7 @@ def wikilinks(lines: DataFrame, *, text: str = "text") -> DataFrame:
 
 def markdown_links(lines: DataFrame, *, text: str = "text") -> DataFrame:
     """One row per [text](target "title") that is no image: the line's columns and target."""
-    return lines.withColumn("target", F.explode(F.regexp_extract_all(F.col(text), F.lit(r'(?<!!)\[[^\]]*\]\(([^)\s]+)(?:\s+"[^"]*")?\)'), F.lit(1))))
+    return lines.withColumn("target", F.explode(F.regexp_extract_all(F.col(text), F.lit(MARKDOWN_LINK), F.lit(1))))
 
 
 def resolve_links(links: DataFrame, paths: DataFrame, decided: DataFrame) -> DataFrame:

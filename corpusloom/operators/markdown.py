@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
-INLINE_CODE = re.compile(r"`[^`\n]+`")
+#: A fenced block: from a line of three or more of one mark to the next that starts with three of it, or to the end.
+FENCED = re.compile(r"^ {0,3}([`~])\1\1.*?(?:\n {0,3}\1{3}[^\n]*|\Z)", re.M | re.S)
+#: Fixed value: code within a line.
+INLINE_CODE = re.compile(r"`[^`\n]*`")
 #: Fixed values of the chunker, in characters.
 MAX_CHUNK, MIN_CHUNK = 2400, 80
 #: Frontmatter codes and their severities.
@@ -20,23 +22,9 @@ SEVERITY = {"FM001": "error", "FM002": "warning", "FM003": "info", "FM004": "err
 
 
 def masked(text: str) -> str:
-    """Text with code blanked: fenced lines become empty, inline code becomes spaces, line numbers stay.
-
-    A fence is closed by any later line that starts with three or more of its own character.
-    """
-    out, opened = [], ""
-    for line in text.split("\n"):
-        m = FENCE.match(line)
-        mark = m[1][0] if m else ""
-        if opened:
-            out.append("")
-            opened = "" if mark == opened else opened
-        elif mark:
-            opened = mark
-            out.append("")
-        else:
-            out.append(INLINE_CODE.sub(lambda c: " " * len(c[0]), line))
-    return "\n".join(out)
+    """Text with code blanked: fenced lines become empty, inline code becomes spaces, line numbers stay."""
+    prose = FENCED.sub(lambda block: "\n" * block[0].count("\n"), text)
+    return INLINE_CODE.sub(lambda code: " " * len(code[0]), prose)
 
 
 @F.pandas_udf(StringType())

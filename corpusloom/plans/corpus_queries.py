@@ -99,74 +99,6 @@ def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("source", "status").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when(F.col("status") == "pending", 2).otherwise(0)).alias("calls"))
 
 
-# -- Markdown fixtures: the driver's tables hold no links, so both sides read the same rows
-
-PATHS = ("DSA/DFS.md", "DSA/BFS.md", "DSA/Heap.md", "Notes/Heap.md", "DSA/Graph Traversal.md", "Notes/plain-note.md", "Tech/RAG.md", "Tech/Union_Find.md", "Old/Union Find.md", "Notes/Kafka.md", "Tech/kafka.md")
-LINES = (
-    ("DSA/DFS.md", 1, "see [[BFS]] and [[Heap|the heap]] and [[123]]"),
-    ("DSA/DFS.md", 2, "[[dfs]] [[Tech/RAG]] [[tech/rag.md]] [[Else/DFS]] [[Missing Page#part]]"),
-    ("DSA/BFS.md", 3, "[[Graph-Traversal]] [[unionfind]] [[KAFKA]] [[Missing Page]] [[ ]]"),
-    ("Notes/plain-note.md", 4, "#tag-one text #two/three é#no a#b [site](https://x.org) [up](../DSA/Graph%20Traversal.md#top) [dir](../DSA/) [gone](./gone.md)"),
-    ("Notes/plain-note.md", 5, "![image](pic.png) [c+d](plain-note.md \"title\") [[plain note]] [[BFS|again]]"),
-)
-DECIDED = (("heap", "DSA/Heap.md"),)
-KINDS = (("DSA", "topic"), ("DSA/01_Patterns", "pattern"), ("Tech", "technology"))
-
-
-def _rows(spark: SparkSession, rows: tuple, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
-
-
-def _lines(spark: SparkSession) -> DataFrame:
-    return _rows(spark, LINES, "source_path string, line int, text string")
-
-
-def _paths(spark: SparkSession) -> DataFrame:
-    return _rows(spark, tuple((p,) for p in PATHS), "path string")
-
-
-def _resolved(spark: SparkSession) -> DataFrame:
-    links = L.wikilinks(_lines(spark)).select("source_path", "line", "target")
-    return L.resolve_links(links, _paths(spark), _rows(spark, DECIDED, "norm string, path string"))
-
-
-def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark)
-
-
-def link_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.link_report(_resolved(spark))
-
-
-def link_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark).groupBy("status").agg(F.count(F.lit(1)).alias("links"))
-
-
-def inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.inbound_counts(_resolved(spark))
-
-
-def md_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = L.markdown_links(_lines(spark)).select("source_path", "line", "target")
-    return L.resolve_relative(links, _paths(spark))
-
-
-def tags_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark).select("source_path", "line", F.explode(C.tags(F.col("text"))).alias("tag"))
-
-
-def name_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark).select("path", C.name_shape(L.stem(F.col("path"))).alias("shape"))
-
-
-def kinds_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.kind_of_path(_paths(spark), _rows(spark, KINDS, "prefix string, kind string"))
-
-
-def _values(rows: tuple, names: str) -> str:
-    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return f"(VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) v({names})"
-
 
 _HASH = r"sha256(regexp_replace(text, '\r\n?', chr(10), 'g'))"
 _LINES_N = "(length(text) - length(replace(text, chr(10), '')) + 1)"
@@ -178,34 +110,10 @@ f AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL
       FROM a FULL JOIN b ON a.doc_id = b.doc_id)"""
 _PAGES = r"pg AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || '.md' AS path FROM pages), nm AS (SELECT *, string_split(path, '/')[-1] AS name FROM pg)"
 _STYLE = r"CASE WHEN regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)*\.md$') THEN 'kebab-case' WHEN regexp_matches(name, '^[A-Z0-9_]+\.md$') THEN 'SHOUT_CASE' WHEN contains(name, ' ') THEN 'Title Case with spaces' ELSE 'other' END"
-_STEM = r"regexp_replace(string_split(path, '/')[-1], '\.md$', '')"
-_CASCADE = rf"""
-ln AS (SELECT * FROM {_values(LINES, 'source_path, line, text')}),
-pt AS (SELECT path, {_STEM} AS st, regexp_replace(path, '\.md$', '') AS ne FROM {_values(tuple((p,) for p in PATHS), 'path')}),
-dc AS (SELECT * FROM {_values(DECIDED, 'norm, path')}),
-wl AS (SELECT source_path, line, trim(string_split(string_split(raw, '|')[1], '#')[1]) AS target FROM (SELECT source_path, line, unnest(regexp_extract_all(text, '\[\[([^\[\]]+?)\]\]', 1)) AS raw FROM ln)),
-w AS (SELECT * FROM wl WHERE target <> ''),
-c AS (SELECT w.*,
-  (SELECT count(*) FROM pt WHERE st = target) AS n1, (SELECT min(path) FROM pt WHERE st = target) AS p1,
-  (SELECT min(path) FROM dc WHERE norm = regexp_replace(lower(target), '[^a-z0-9]+', '', 'g')) AS d,
-  (SELECT min(path) FROM pt WHERE path = target OR ne = target) AS p2,
-  (SELECT count(*) FROM pt WHERE lower(st) = lower(target)) AS n3, (SELECT min(path) FROM pt WHERE lower(st) = lower(target)) AS p3,
-  (SELECT min(path) FROM pt WHERE lower(path) = lower(target) OR lower(ne) = lower(target)) AS p4,
-  (SELECT count(*) FROM pt WHERE contains(target, '/') AND st = string_split(target, '/')[-1]) AS n5,
-  (SELECT min(path) FROM pt WHERE contains(target, '/') AND st = string_split(target, '/')[-1]) AS p5,
-  (SELECT count(*) FROM pt WHERE regexp_replace(lower(st), '[^a-z0-9]+', '', 'g') = regexp_replace(lower(target), '[^a-z0-9]+', '', 'g')) AS n6 FROM w),
-r AS (SELECT source_path, line, target,
-  CASE WHEN regexp_matches(target, '^[\s\d[:punct:]]*$') THEN 'MALFORMED' WHEN n1 = 1 THEN 'RESOLVED' WHEN n1 > 1 THEN CASE WHEN d IN (SELECT path FROM pt WHERE st = target) THEN 'RESOLVED' ELSE 'AMBIGUOUS' END
-       WHEN p2 IS NOT NULL THEN 'RESOLVED' WHEN n3 = 1 THEN 'CASE_MISMATCH' WHEN n3 > 1 THEN CASE WHEN d IN (SELECT path FROM pt WHERE lower(st) = lower(target)) THEN 'CASE_MISMATCH' ELSE 'AMBIGUOUS' END
-       WHEN p4 IS NOT NULL THEN 'CASE_MISMATCH' WHEN n5 = 1 THEN 'PATH_MISMATCH' WHEN n5 > 1 THEN 'AMBIGUOUS' WHEN n6 = 1 THEN 'RENAMED_CANDIDATE' WHEN n6 > 1 THEN 'AMBIGUOUS' ELSE 'MISSING' END AS status,
-  CASE WHEN regexp_matches(target, '^[\s\d[:punct:]]*$') THEN NULL WHEN n1 = 1 THEN p1 WHEN n1 > 1 THEN CASE WHEN d IN (SELECT path FROM pt WHERE st = target) THEN d END WHEN p2 IS NOT NULL THEN p2 WHEN n3 = 1 THEN p3
-       WHEN n3 > 1 THEN CASE WHEN d IN (SELECT path FROM pt WHERE lower(st) = lower(target)) THEN d END WHEN p4 IS NOT NULL THEN p4 WHEN n5 = 1 THEN p5 END AS resolved_path FROM c)"""
-_SHAPE = "CASE " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{label}'" for label, p in C.NAME_SHAPES) + " ELSE 'plain concept' END"
-
 QUERIES = {
     f.__name__: f
     for f in (corpus_stats, stats_by_source, language_histogram, doc_hashes, duplicate_docs, corpus_fingerprint, snapshot_diff, change_summary, largest_documents, line_spans, filename_styles, ambiguity_index,
-              convention_report, extraction_plan, link_cascade, link_report, link_status_counts, inbound_links, md_links, tags_inline, name_shapes, kinds_by_folder)
+              convention_report, extraction_plan)
 }
 ORACLES = {
     "corpus_stats": f"WITH g AS (SELECT {_HASH} AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1) SELECT {_STATS}, (SELECT count(*) FROM g) AS duplicate_groups, (SELECT coalesce(sum(n), 0)::BIGINT FROM g) AS duplicate_documents, count(DISTINCT source) AS sources, count(DISTINCT lang) AS languages FROM documents",
@@ -226,13 +134,4 @@ UNION ALL SELECT 'everywhere', count(*), count(*) FILTER (regexp_matches(name, '
 f AS (SELECT h, min(doc_id) AS first_id FROM r WHERE source <> 'src1' GROUP BY h),
 s AS (SELECT source, CASE WHEN source = 'src1' THEN 'cached' WHEN size < 40 THEN 'no_spans' WHEN doc_id <> first_id THEN 'duplicate' ELSE 'pending' END AS status FROM r LEFT JOIN f USING (h))
 SELECT source, status, count(*) AS documents, (2 * count(*) FILTER (status = 'pending'))::BIGINT AS calls FROM s GROUP BY ALL""",
-    "link_cascade": f"WITH {_CASCADE} SELECT * FROM r",
-    "link_report": f"WITH {_CASCADE} SELECT target, count(*) AS links, count(DISTINCT source_path) AS sources, arg_min(status, (source_path, line)) AS status FROM r WHERE status NOT IN ('RESOLVED', 'CASE_MISMATCH', 'PATH_MISMATCH') GROUP BY target",
-    "link_status_counts": f"WITH {_CASCADE} SELECT status, count(*) AS links FROM r GROUP BY status",
-    "inbound_links": f"WITH {_CASCADE}, i AS (SELECT DISTINCT resolved_path, source_path FROM r WHERE resolved_path IS NOT NULL AND resolved_path <> source_path) SELECT resolved_path, count(*) AS pages, array_to_string(list_sort(list(source_path))[1:5], ',') AS sample FROM i GROUP BY resolved_path",
-    "md_links": """SELECT * FROM (VALUES ('Notes/plain-note.md', 4, '../DSA/Graph%20Traversal.md#top', 'RESOLVED', 'DSA/Graph Traversal.md'), ('Notes/plain-note.md', 4, '../DSA/', 'RESOLVED', 'DSA'),
-('Notes/plain-note.md', 4, './gone.md', 'MISSING', NULL), ('Notes/plain-note.md', 5, 'plain-note.md', 'RESOLVED', 'Notes/plain-note.md')) v(source_path, line, target, status, resolved_path)""",
-    "tags_inline": rf"WITH ln AS (SELECT * FROM {_values(LINES, 'source_path, line, text')}), t AS (SELECT source_path, line, unnest(regexp_extract_all(' ' || text, '(^|[^\pL\pN_/#])#([A-Za-z][\pL\pN_/-]*)', 2)) AS tag FROM ln) SELECT DISTINCT source_path, line, tag FROM t",
-    "name_shapes": rf"SELECT path, {_SHAPE} AS shape FROM (SELECT path, {_STEM} AS n FROM {_values(tuple((p,) for p in PATHS), 'path')})",
-    "kinds_by_folder": f"SELECT path, coalesce((SELECT arg_max(kind, length(prefix)) FROM {_values(KINDS, 'prefix, kind')} WHERE starts_with(p.path, prefix || '/')), 'concept') AS kind FROM (SELECT * FROM {_values(tuple((p,) for p in PATHS), 'path')}) p",
 }

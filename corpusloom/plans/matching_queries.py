@@ -10,42 +10,11 @@ from corpusloom.operators import matching as X
 from corpusloom.operators.vectors import cosine
 from corpusloom.sources.tables import table
 
-MARKDOWN = (
-    (1, "# Title\nintro\n## One\ntext\n```\n# not a heading\n```\n### Deep\nmore\n## Two\n\n# Next #\nend"),
-    (2, "no heading\nat all"),
-    (3, "preamble `# code`\n~~~\n```\n# hidden\n~~~\n## Only\nbody"),
-)
-FRONT = (
-    ("a.md", "---\ntitle: x\n---\nbody"),
-    ("b.md", "no block"),
-    ("c.md", "---\n\n---\n"),
-    ("d.md", "---\nrelated: [[A]], [[B]]\n---\n"),
-    ("e.md", "---\nrelated: [[[A]], [[B]]]\n---\n"),
-    ("f.md", "---\na: 1\na: 2\n---\n"),
-    ("g.md", "---\n- one\n---\n"),
-    ("h.md", "---\nrelated: [[A]], [[B]\n---\n"),
-)
 NAMES = (("Union find",), ("hash map",), ("HashMap",), ("Retrieval Augmentd Generation",), ("heap",), ("nothing like it",), ("BFS",))
 KNOWN = (("Union Find", ["DSU"]), ("Hash-Map", ["HashMap"]), ("Retrieval Augmented Generation", ["RAG"]), ("Breadth First Search", ["BFS"]), ("Heap", []), ("Heap (memory)", []))
 DECIDED = (("heap", "Heap"),)
 
 
-def _docs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MARKDOWN), "doc_id bigint, text string")
-
-
-def md_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.headings(_docs(spark))
-
-
-def md_heading_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.heading_spans(_docs(spark))
-
-
-def frontmatter_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.diagnostics(spark.createDataFrame(list(FRONT), "path string, text string"))
-
-
 def rows_structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document as blocks; a line of at most three words counts as a heading."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where("trim(text) <> ''")
@@ -53,11 +22,6 @@ def rows_structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.structural_chunks(lines.select("doc_id", "ordinal", "text", head.alias("is_heading"), F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page")))
 
 
-def navigation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ((1, "[a](b)\n[c](d)\n\n[[e]]\n[f](g)\nprose"), (2, "[a](b)\nprose"), (3, "[a](b)\n[a](b)\n[a](b)\n[a](b)\nx\ny\nz\nw\nv"))
-    return spark.createDataFrame(list(rows), "span_id int, text string").select("span_id", M.navigation(F.col("text")).alias("navigation"))
-
-
 def concept_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.concept_clusters(table(spark, sf_dir, "part"), name="p_name")
 
@@ -112,15 +76,10 @@ _FLAT = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 
 QUERIES = {
     f.__name__: f
-    for f in (md_headings, md_heading_spans, frontmatter_codes, rows_structural_chunks, navigation_spans, concept_clusters, match_cascade, rows_claim_clusters, quote_presence, rows_grounding, benchmark_quotes, rows_hash_embedding)
+    for f in (rows_structural_chunks, concept_clusters, match_cascade, rows_claim_clusters, quote_presence, rows_grounding, benchmark_quotes, rows_hash_embedding)
 }
 #: Fixture queries are checked against rows worked out by hand.
 ORACLES = {
-    "md_headings": "SELECT doc_id::BIGINT AS doc_id, line, level, heading FROM (VALUES (1, 1, 1, 'Title'), (1, 3, 2, 'One'), (1, 8, 3, 'Deep'), (1, 10, 2, 'Two'), (1, 12, 1, 'Next'), (3, 6, 2, 'Only')) v(doc_id, line, level, heading)",
-    "md_heading_spans": """SELECT doc_id::BIGINT AS doc_id, ordinal, start_line, end_line, path FROM (VALUES (1, 0, 1, 2, 'Title'), (1, 1, 3, 7, 'Title > One'), (1, 2, 8, 9, 'Title > One > Deep'), (1, 3, 12, 13, 'Next'),
-(2, 0, 1, 2, ''), (3, 0, 1, 5, ''), (3, 1, 6, 7, 'Only')) v(doc_id, ordinal, start_line, end_line, path)""",
-    "frontmatter_codes": "SELECT * FROM (VALUES ('b.md', 'FM003', 'info'), ('c.md', 'FM007', 'info'), ('d.md', 'FM001', 'error'), ('e.md', 'FM002', 'warning'), ('f.md', 'FM005', 'warning'), ('g.md', 'FM004', 'error'), ('h.md', 'FM001', 'error'), ('h.md', 'FM008', 'warning')) v(path, code, severity)",
-    "navigation_spans": "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) v(span_id, navigation)",
     "match_cascade": """SELECT name, stage, concept, score::DOUBLE AS score FROM (VALUES ('Union find', 'exact', 'Union Find', 1.0), ('hash map', 'normalised', 'Hash-Map', 0.95), ('HashMap', 'alias', 'Hash-Map', 0.98),
 ('Retrieval Augmentd Generation', 'fuzzy', 'Retrieval Augmented Generation', 0.9818), ('heap', 'decision', 'Heap', 1.0), ('nothing like it', 'none', NULL, NULL), ('BFS', 'alias', 'Breadth First Search', 0.98)) v(name, stage, concept, score)""",
     "concept_clusters": f"WITH s AS (SELECT p_name, {_STEM} AS stem FROM (SELECT p_name, {_NORM} AS n FROM part)) SELECT stem, count(DISTINCT p_name) AS labels, count(*) AS members, arg_max(p_name, (length(p_name), p_name)) AS suggested FROM s GROUP BY stem HAVING count(*) > 1",
