@@ -16,10 +16,24 @@ NEIGHBOUR_CAP = 50
 MAX_DEPTH, MAX_PATH = 3, 6
 
 
+#: Members of a group that one task pairs with as many others.
+BLOCK = 1000
+
+
 def cooccurrence(members: DataFrame, *, group: str, item: str, least: int = 2) -> DataFrame:
-    """Pairs of items that share groups: a < b, shared, score = min(1, shared / 5). Groups are small by nature."""
-    rows = members.select(group, item).distinct()
-    pairs = rows.withColumnRenamed(item, "a").join(rows.withColumnRenamed(item, "b"), group).where("a < b")
+    """Pairs of items that share groups: a < b, shared, score = min(1, shared / 5).
+
+    Items of fewer groups than `least` are in no pair and go first. A group of more than BLOCK members is paired
+    block against block, each pair of blocks by itself, so no task holds the pairs of a whole large group.
+    """
+    rows = members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    often = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("i")
+    rows = rows.join(often, "i") if least > 1 else rows
+    sized = rows.join(rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "g")
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks").cast("bigint")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("own", "j").alias("bi"), F.greatest("own", "j").alias("bj"), "own", "i")
+    other = dealt.select("g", "bi", "bj", F.col("own").alias("other"), F.col("i").alias("b"))
+    pairs = dealt.withColumnRenamed("i", "a").join(other, ["g", "bi", "bj"]).where("a < b and (own <> other or bi = bj)")
     counted = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     return counted.withColumn("score", F.round(F.least(F.lit(1.0), F.col("shared") / F.lit(5)), 4))
 
@@ -50,28 +64,35 @@ def capped_neighbours(edges: DataFrame, cap: int = NEIGHBOUR_CAP) -> DataFrame:
     return both_ways(edges).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select(F.col("a").alias("node"), F.col("b").alias("neighbour"), "n")
 
 
-def within_depth(edges: DataFrame, start: int, depth: int, cap: int = NEIGHBOUR_CAP) -> DataFrame:
-    """Nodes that lie within `depth` steps (clamped to 1..3) of the start: node, depth."""
-    step = staged(capped_neighbours(edges, cap), "steps")
-    seen = step.sparkSession.createDataFrame([(start, 0)], "node bigint, depth int")
-    front = seen
+def within_depth(steps: DataFrame, start: int, depth: int, *, budget: int | None = None) -> DataFrame:
+    """Nodes that lie within `depth` steps (clamped to 1..3) of the start: node, depth.
+
+    steps: node, neighbour, as capped_neighbours gives them, stored. A budget stops the search after the round in which
+    it is reached and keeps as many nodes, nearest first, then by id.
+    """
+    seen = steps.sparkSession.createDataFrame([(start, 0)], "node bigint, depth int")
+    front, held = seen, 0
     for d in range(1, max(1, min(depth, MAX_DEPTH)) + 1):
-        reached = front.select("node").join(step, "node").select(F.col("neighbour").alias("node")).distinct()
+        reached = front.select("node").join(steps, "node").select(F.col("neighbour").alias("node")).distinct()
         front = staged(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(front)
-    return seen.where("depth > 0")
+        if budget is not None:
+            held += front.count()
+            if held >= budget:
+                break
+    found = seen.where("depth > 0")
+    return found if budget is None else found.orderBy("depth", "node").limit(budget)
 
 
-def shortest_path(edges: DataFrame, start: int, goal: int, depth: int = MAX_PATH, cap: int = NEIGHBOUR_CAP) -> DataFrame:
-    """One shortest path within the bound (clamped to 1..6), the least in order of ids: length, path; no row if none."""
-    step = staged(capped_neighbours(edges, cap), "steps")
-    spark = step.sparkSession
+def shortest_path(steps: DataFrame, start: int, goal: int, depth: int = MAX_PATH) -> DataFrame:
+    """One shortest path within the bound (clamped to 1..6), the least in order of ids: length, path; no row if none. steps as for within_depth."""
+    spark = steps.sparkSession
     front = spark.createDataFrame([(start, [start])], "node bigint, path array<bigint>")
     if start == goal:
         return front.select(F.lit(0).alias("length"), F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
     seen = front.select("node")
     for d in range(1, max(1, min(depth, MAX_PATH)) + 1):
-        grown = front.join(step, "node").select(F.col("neighbour").alias("node"), F.concat("path", F.array("neighbour")).alias("path"))
+        grown = front.join(steps, "node").select(F.col("neighbour").alias("node"), F.concat("path", F.array("neighbour")).alias("path"))
         front = staged(grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")), "frontier")
         found = front.where(F.col("node") == goal).select(F.lit(d).alias("length"), F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
         if found.limit(1).count():

@@ -73,28 +73,34 @@ def capped_claims(claims: DataFrame, candidates: DataFrame) -> DataFrame:
     The second cap sees at most five rows for each of the few candidates.
     """
     inner = Window.partitionBy("concept_id").orderBy("claim_id")
-    some = claims.join(F.broadcast(candidates), "concept_id").withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= PER_CONCEPT)
+    some = claims.join(candidates, "concept_id").withColumn("_n", F.row_number().over(inner)).where(F.col("_n") <= PER_CONCEPT)
     return some.orderBy("place", "claim_id").limit(IN_ALL).select("claim_id", "concept_id", "place")
 
 
 def narrow(concepts: DataFrame, spans: DataFrame, edges: DataFrame, *, cap: int = 12) -> DataFrame:
     """Concepts that evidence may bear on: concept, selector; the first selector wins, then rank and name, then the cap.
 
-    concepts: concept, aliases; spans: text, heading; edges: a, b over concepts. The evidence of one
-    change is a few spans, so its text is one value that every task gets.
+    concepts: concept, aliases; spans: text, heading; edges: a, b over concepts. Names and spans meet on the first LEAST letters of
+    a name, which occur in a span that holds it, so any number of spans is an equi-join; few pairs are then compared whole.
     """
-    text = spans.agg(normalize(F.concat_ws(" ", F.collect_list("text"))).alias("_text"), normalize(F.concat_ws(" ", F.collect_list("heading"))).alias("_head"))
-    rows = concepts.join(F.broadcast(text)).withColumn("_name", normalize(F.col("concept")))
+    least = 4
 
-    def holds(hay: str, name: Column) -> Column:
-        return (F.length(name) >= 4) & F.contains(F.col(hay), name)
+    def grams(column: str) -> DataFrame:
+        flat = spans.select(normalize(F.col(column)).alias("hay")).where(F.length("hay") >= least).distinct()
+        starts = F.transform(F.sequence(F.lit(1), F.length("hay") - least + 1), lambda i: F.substring("hay", i, F.lit(least)))
+        return flat.select("hay", F.explode(F.array_distinct(starts)).alias("g"))
 
-    alias = F.exists("aliases", lambda a: holds("_text", normalize(a)))
-    selector = F.when(holds("_text", F.col("_name")), "exact_name").when(alias, "alias").when(holds("_head", F.col("_name")), "heading")
-    direct = rows.select("concept", selector.alias("selector")).where("selector is not null")
+    def holding(names: DataFrame, column: str, selector: str) -> DataFrame:
+        fit = names.where(F.length("name") >= least).withColumn("g", F.substring("name", 1, least))
+        return fit.join(grams(column), "g").where(F.contains("hay", F.col("name"))).select("concept", F.lit(selector).alias("selector")).distinct()
+
+    named = concepts.select("concept", normalize(F.col("concept")).alias("name"))
+    others = concepts.select("concept", F.explode("aliases").alias("a")).select("concept", normalize(F.col("a")).alias("name"))
+    place = F.array_position(F.array(*[F.lit(s) for s in SELECTORS]), F.col("selector"))
+    direct = holding(named, "text", "exact_name").unionByName(holding(others, "text", "alias")).unionByName(holding(named, "heading", "heading"))
+    direct = direct.groupBy("concept").agg(F.min_by("selector", place).alias("selector"))
     near = edges.select("a", "b").union(edges.select("b", "a")).join(direct.select(F.col("concept").alias("a")), "a").select(F.col("b").alias("concept")).distinct()
     near = near.join(direct, "concept", "left_anti").select("concept", F.lit("graph_neighbour").alias("selector"))
-    place = F.array_position(F.array(*[F.lit(s) for s in SELECTORS]), F.col("selector"))
     return direct.unionByName(near).orderBy(place, "concept").limit(cap)
 
 

@@ -20,12 +20,28 @@ ALLOWED = (("signup", "view"), ("view", "click"), ("click", "purchase"), ("view"
 START, GOAL = 1, 2
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, made) -> DataFrame:
+    """A table of a folder that is written once a session and read again."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _stored:
+        _stored[at] = staged(made(), name)
+    return _stored[at]
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cooccurrence(table(spark, sf_dir, "lineitem"), group="l_orderkey", item="l_partkey")
+    return _once(spark, sf_dir, "edges", lambda: cooccurrence_edges(spark, sf_dir))
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency of the graph, sorted by node, so that a search reads only the row groups of its frontier."""
+    return _once(spark, sf_dir, "steps", lambda: G.capped_neighbours(_edges(spark, sf_dir)).repartitionByRange("node").sortWithinPartitions("node", "n"))
 
 
 def cooccurrence_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir)
+    return G.cooccurrence(table(spark, sf_dir, "lineitem"), group="l_orderkey", item="l_partkey")
 
 
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +53,7 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_metrics(table(spark, sf_dir, "part"), staged(_edges(spark, sf_dir), "edges"), node="p_partkey")
+    return G.graph_metrics(table(spark, sf_dir, "part"), _edges(spark, sf_dir), node="p_partkey")
 
 
 def neighbours_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +61,11 @@ def neighbours_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_within_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.within_depth(_edges(spark, sf_dir), START, 3)
+    return G.within_depth(_steps(spark, sf_dir), START, 3)
 
 
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shortest_path(_edges(spark, sf_dir), START, GOAL)
+    return G.shortest_path(_steps(spark, sf_dir), START, GOAL)
 
 
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,12 +204,16 @@ def impact_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.impact(lines.select("l_orderkey", kind.alias("classification")).withColumnRenamed("l_orderkey", "o_orderkey"), examined.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("claims")), key="o_orderkey")
 
 
-TIER_ITEMS = (("a", "SOURCE_FACT"), ("b", "SYNTHESIS"), ("c", "EXTRACTED_CLAIM"), ("d", "SOURCE_FACT"))
-TIER_INPUTS = (("a", "MODEL_INFERENCE"), ("a", "SOURCE_FACT"), ("b", "SOURCE_FACT"), ("c", "USER_ASSERTION"))
+
+
+_TIER = "CASE {0} WHEN 0 THEN 'SOURCE_FACT' WHEN 1 THEN 'EXTRACTED_CLAIM' WHEN 2 THEN 'USER_ASSERTION' WHEN 3 THEN 'MODEL_INFERENCE' ELSE 'SYNTHESIS' END"
 
 
 def provenance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.floor_violations(spark.createDataFrame(list(TIER_ITEMS), "item_id string, tier string"), spark.createDataFrame(list(TIER_INPUTS), "item_id string, tier string"))
+    """Orders as items, their lines as inputs; the keys give the tiers."""
+    items = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS item_id", _TIER.format("o_orderkey % 5") + " AS tier")
+    inputs = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS item_id", _TIER.format("l_partkey % 5") + " AS tier")
+    return K.floor_violations(items, inputs)
 
 
 _E = """
@@ -256,5 +276,6 @@ r AS (SELECT o.o_orderkey, CASE WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o_
     "concept_page": "WITH h AS (SELECT * FROM customer WHERE contains(lower(c_name), 'customer#0000000') AND c_mktsegment = 'HOUSEHOLD') SELECT c_custkey, c_name, (SELECT count(*) FROM h) AS total FROM h ORDER BY lower(c_name), c_custkey LIMIT 5 OFFSET 2",
     "impact_classification": """WITH a AS (SELECT l_orderkey, max(CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_discount >= 0.05 THEN 2 WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS w FROM lineitem GROUP BY l_orderkey)
 SELECT o_orderkey, CASE WHEN w = 3 THEN 'CONFLICT' WHEN w = 2 THEN 'REFINES' WHEN w = 1 THEN 'SUPPORTS' WHEN w IS NULL THEN 'NEW_KNOWLEDGE' ELSE 'NO_MATERIAL_CHANGE' END AS impact FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""",
-    "provenance_floor": "SELECT 'a' AS item_id, 'SOURCE_FACT' AS tier",
+    "provenance_floor": f"""WITH i AS (SELECT o_orderkey AS item_id, {_TIER.format('o_orderkey % 5')} AS tier FROM orders), l AS (SELECT l_orderkey AS item_id, {_TIER.format('l_partkey % 5')} AS t FROM lineitem),
+w AS (SELECT item_id, min(CASE t WHEN 'SOURCE_FACT' THEN 4 WHEN 'EXTRACTED_CLAIM' THEN 3 WHEN 'USER_ASSERTION' THEN 3 WHEN 'MODEL_INFERENCE' THEN 2 ELSE 1 END) AS floor FROM l GROUP BY 1) SELECT item_id, tier FROM i JOIN w USING (item_id) WHERE CASE tier WHEN 'SOURCE_FACT' THEN 4 WHEN 'EXTRACTED_CLAIM' THEN 3 WHEN 'USER_ASSERTION' THEN 3 WHEN 'MODEL_INFERENCE' THEN 2 ELSE 1 END > floor""",
 }

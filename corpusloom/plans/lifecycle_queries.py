@@ -9,20 +9,12 @@ from corpusloom.functions.text import content_hash, entity_id
 from corpusloom.operators import graph as G
 from corpusloom.operators import lifecycle as Y
 from corpusloom.operators import links as L
-from corpusloom.operators.search import bm25, top_k
-from corpusloom.plans.search_queries import bm25_sql
+from corpusloom.operators.search import top_k
+from corpusloom.plans.search_queries import bm25_sql, index_of
 from corpusloom.sources.tables import table
 from corpusloom.sources.vault import to_ingest, upsert
 
 QUESTION = "erin ingre their onthe"
-MOVES = ((1, 1, "approved"), (1, 2, "activated"), (1, 3, "rejected"), (2, 1, "rejected"), (2, 2, "approved"), (3, 1, "activated"), (4, 1, "approved"), (4, 2, "superseded"))
-CONCEPTS = (("Union Find", ["DSU algorithm"]), ("Graph", []), ("Heap sort", []), ("BFS", []), ("Queue", []), ("Sorting", []))
-SPANS = (("The DSU-algorithm is fast. Heap", "Union"), ("sort uses a graph.", "On sorting"))
-EDGES = (("Graph", "Queue"), ("BFS", "Queue"), ("Graph", "Heap sort"))
-REPLIES = ((1, '{"a": 1}'), (2, 'Here:\n```json\n{"b": 2}\n```\nbye'), (3, 'so {"c": {"d": 3}} it is'), (4, "nothing"), (5, " [1, 2] "))
-ANSWERS = ((1, "As [1] and [3], but not [12] nor [1]."), (2, "none"))
-PINS = (("a", "1"), ("b", None), ("c", "3"), ("d", "4"))
-HEADS = (("a", "1"), ("b", "2"), ("c", "9"))
 ASKS = ("17", "Customer#000000003", "customer#00000000", "nobody", "000000042")
 
 
@@ -44,6 +36,12 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_ingest(docs, stored, key="doc_id").select("doc_id")
 
 
+_MOVE = "CASE WHEN event_id % 11 = 0 THEN 'superseded' WHEN event_type = 'view' THEN 'approved' WHEN event_type = 'click' THEN 'activated' ELSE 'rejected' END"
+#: Replies of a model: bare, fenced, within a sentence, none, a list.
+_REPLY = """CASE p_partkey % 5 WHEN 0 THEN '{"a": ' || CAST(p_partkey AS STRING) || '}' WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || '{"b": "' || p_name || '"}' || chr(10) || '```' || chr(10) || 'bye'
+ WHEN 2 THEN 'so {"c": {"d": ' || CAST(p_size AS STRING) || '}} it is' WHEN 3 THEN 'nothing of ' || p_name ELSE ' [1, ' || CAST(p_size AS STRING) || '] ' END"""
+
+
 def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", entity_id("concept", F.lower("c_name")).alias("id"))
 
@@ -54,7 +52,9 @@ def derivation_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proposal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.fold_states(spark.createDataFrame(list(MOVES), "proposal int, at int, move string"), key="proposal", order="at", move="move")
+    """The events of each user as moves of a proposal."""
+    moves = table(spark, sf_dir, "events").select(F.col("user_id").alias("proposal"), F.struct("ts", "event_id").alias("at"), F.expr(_MOVE).alias("move"))
+    return Y.fold_states(moves, key="proposal", order="at", move="move")
 
 
 def create_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,13 @@ def capped_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_narrowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.narrow(spark.createDataFrame(list(CONCEPTS), "concept string, aliases array<string>"), spark.createDataFrame(list(SPANS), "text string, heading string"), spark.createDataFrame(list(EDGES), "a string, b string"))
+    """Parts as concepts; some of their names and aliases, written otherwise, are the evidence."""
+    parts = table(spark, sf_dir, "part")
+    name = "p_name || ' ' || cast(p_partkey as string) || 'z'"
+    concepts = parts.selectExpr(f"{name} as concept", "array(p_brand || ' kind ' || cast(p_partkey as string) || 'q') as aliases")
+    spans = parts.where("p_partkey % 60 = 7").selectExpr(f"'On ' || upper(replace({name}, ' ', '-')) || ' and ' || lower(p_brand) || '_kind_' || cast(p_partkey + 1 as string) || 'q.' as text", f"'About {{}}' || replace({name}, '7z', '8z') as heading")
+    edges = parts.where("p_partkey > 2").selectExpr(f"{name} as a", "p_partkey as k").join(parts.selectExpr(f"{name} as b", "p_partkey + 3 as k"), "k").select("a", "b")
+    return Y.narrow(concepts, spans, edges, cap=1000)
 
 
 def corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +108,20 @@ def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(REPLIES), "id int, reply string").select("id", Y.extract_json(F.col("reply")).alias("json"))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{_REPLY} AS reply").select("id", Y.extract_json(F.col("reply")).alias("json"))
 
 
 def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.citations(spark.createDataFrame(list(ANSWERS), "id int, body string"), text="body", passages=8).select("id", "n", "valid")
+    body = "'As [' || cast(p_partkey % 11 as string) || '] and [' || cast(p_size as string) || '], but not [x] nor [' || cast(p_partkey % 11 as string) || '].'"
+    return Y.citations(table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{body} AS body"), text="body", passages=8).select("id", "n", "valid")
 
 
 def upstream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.drift(spark.createDataFrame(list(PINS), "repo string, commit string"), spark.createDataFrame(list(HEADS), "repo string, head string"))
+    """Suppliers as repositories: their nation is the commit that is pinned, some have none, of some no head is known."""
+    s = table(spark, sf_dir, "supplier")
+    pinned = s.selectExpr("s_name AS repo", "CASE WHEN s_suppkey % 5 <> 0 THEN cast(s_nationkey AS STRING) END AS commit")
+    heads = s.where("s_suppkey % 7 <> 0").selectExpr("s_name AS repo", "cast(CASE WHEN s_acctbal > 5000 THEN s_nationkey ELSE s_nationkey + 1 END AS STRING) AS head")
+    return Y.drift(pinned, heads)
 
 
 def resolve_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +137,7 @@ def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents for a question's words, without those of the source it already cites."""
     docs = table(spark, sf_dir, "documents")
     cited = docs.where("source = 'src0'").select("doc_id")
-    return top_k(bm25(docs, QUESTION).join(cited, "doc_id", "left_anti"), 10).select("doc_id", F.round("score", 6).alias("score"))
+    return top_k(index_of(spark, sf_dir).one(QUESTION).join(cited, "doc_id", "left_anti"), 10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def seed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +163,7 @@ def recent_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAT = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+_FLATN = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 _H = r"sha256(regexp_replace(text, '\r\n?', chr(10), 'g'))"
 QUERIES = {
     f.__name__: f
@@ -164,7 +176,10 @@ ORACLES = {
     "incremental_ingest": "SELECT doc_id FROM documents WHERE source = 'src2' OR lang = 'en'",
     "entity_ids": r"SELECT c_custkey, substr(sha256('concept' || chr(31) || lower(c_name) || chr(31)), 1, 26) AS id FROM customer",
     "derivation_misses": f"SELECT doc_id FROM documents WHERE {_H} NOT IN (SELECT {_H} FROM documents WHERE source = 'src1')",
-    "proposal_states": "SELECT * FROM (VALUES (1, 'activated', 1), (2, 'rejected', 1), (3, 'pending', 1), (4, 'superseded', 0)) v(proposal, state, refused)",
+    "proposal_states": f"""WITH m AS (SELECT user_id AS proposal, list({_MOVE} ORDER BY ts, event_id) AS ms FROM events GROUP BY user_id),
+f AS (SELECT proposal, list_reduce(list_prepend('pending|0', ms), lambda a, m: CASE WHEN (string_split(a, '|')[1] = 'pending' AND m IN ('approved', 'rejected', 'superseded')) OR (string_split(a, '|')[1] = 'approved' AND m IN ('activated', 'superseded'))
+  OR (string_split(a, '|')[1] IN ('activated', 'rejected') AND m = 'superseded') THEN m || '|' || string_split(a, '|')[2] ELSE string_split(a, '|')[1] || '|' || (string_split(a, '|')[2]::INTEGER + 1) END) AS s FROM m)
+SELECT proposal, string_split(s, '|')[1] AS state, string_split(s, '|')[2]::INTEGER AS refused FROM f""",
     "create_if_absent": "WITH i AS (SELECT c_mktsegment || '/' || c_nationkey AS identity, c_acctbal FROM customer) SELECT DISTINCT identity FROM i WHERE identity NOT IN (SELECT identity FROM i WHERE c_acctbal < 0)",
     "supersede_claims": """SELECT o_orderkey AS claim_id, o_orderpriority AS statement, CASE WHEN u THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status, CASE WHEN u THEN o_orderkey + 10000000000 END AS superseded_by, CASE WHEN u THEN '2024-01-31' END AS valid_to
 FROM (SELECT *, o_orderpriority = '1-URGENT' AS u FROM orders) UNION ALL SELECT o_orderkey + 10000000000, 'refined', 'ACTIVE', NULL, NULL FROM orders WHERE o_orderpriority = '1-URGENT'""",
@@ -172,15 +187,19 @@ FROM (SELECT *, o_orderpriority = '1-URGENT' AS u FROM orders) UNION ALL SELECT
 SELECT CASE WHEN a NOT IN (SELECT * FROM k) OR b NOT IN (SELECT * FROM k) THEN 'missing_concept' WHEN n < 2 THEN 'too_few_spans' ELSE 'activated' END AS outcome, count(*) AS edges FROM e GROUP BY 1""",
     "capped_claims": """WITH c AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1)::INTEGER AS place FROM customer QUALIFY place < 12),
 s AS (SELECT o_orderkey AS claim_id, o_custkey AS concept_id, place FROM orders JOIN c ON c_custkey = o_custkey QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5) SELECT * FROM s ORDER BY place, claim_id LIMIT 20""",
-    "candidate_narrowing": "SELECT * FROM (VALUES ('Graph', 'exact_name'), ('Heap sort', 'exact_name'), ('Union Find', 'alias'), ('Sorting', 'heading'), ('Queue', 'graph_neighbour')) v(concept, selector)",
+    "candidate_narrowing": f"""WITH p AS (SELECT p_partkey AS k, p_name || ' ' || p_partkey || 'z' AS c, {_FLATN.format("p_name || ' ' || p_partkey || 'z'")} AS n, {_FLATN.format("p_brand || ' kind ' || p_partkey || 'q'")} AS al FROM part),
+sp AS (SELECT {_FLATN.format("'On ' || p_name || p_partkey || 'z and ' || p_brand || 'kind' || (p_partkey + 1) || 'q.'")} AS t, {_FLATN.format("'About {}' || replace(p_name || ' ' || p_partkey || 'z', '7z', '8z')")} AS h FROM part WHERE p_partkey % 60 = 7),
+d AS (SELECT c, CASE WHEN EXISTS (SELECT 1 FROM sp WHERE contains(t, n)) THEN 'exact_name' WHEN EXISTS (SELECT 1 FROM sp WHERE contains(t, al)) THEN 'alias' WHEN EXISTS (SELECT 1 FROM sp WHERE contains(h, n)) THEN 'heading' END AS selector, k FROM p),
+f AS (SELECT c, selector FROM d WHERE selector IS NOT NULL UNION ALL SELECT c, 'graph_neighbour' FROM d WHERE selector IS NULL AND EXISTS (SELECT 1 FROM d x WHERE x.selector IS NOT NULL AND abs(x.k - d.k) = 3))
+SELECT c AS concept, selector FROM f ORDER BY list_position(['exact_name', 'alias', 'identity', 'heading', 'lexical', 'graph_neighbour'], selector), c LIMIT 1000""",
     "corroboration": f"""WITH t AS (SELECT a.role, {_FLAT.format('a.text')} AS q, {_FLAT.format('b.text')} AS h FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
 p AS (SELECT role, CASE role WHEN 'assistant' THEN 'SUPPORTS' WHEN 'user' THEN 'REFINES' ELSE 'CONFLICT' END AS k, CASE WHEN q = '' THEN 0.0 WHEN contains(h, q) THEN 1.0 ELSE len(list_filter(string_split(q, ' '), lambda w: contains(h, w))) / len(string_split(q, ' ')) END AS pr FROM t)
 SELECT role, CASE WHEN k <> 'CONFLICT' AND pr < 0.8 THEN 'INSUFFICIENT_EVIDENCE' ELSE k END AS classification, count(*) AS turns FROM p GROUP BY ALL""",
     "changed_fields": """WITH b AS (SELECT * FROM supplier WHERE s_nationkey <> 3), a AS (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN lower(s_name) ELSE s_name END AS n, CASE WHEN s_acctbal > 9000 THEN -1 ELSE s_nationkey END AS k FROM supplier WHERE s_nationkey <> 4),
 j AS (SELECT coalesce(b.s_suppkey, a.s_suppkey) AS s_suppkey, concat_ws(',', CASE WHEN s_name IS DISTINCT FROM n THEN 's_name' END, CASE WHEN s_nationkey IS DISTINCT FROM k THEN 's_nationkey' END) AS changed FROM b FULL JOIN a ON a.s_suppkey = b.s_suppkey) SELECT * FROM j WHERE changed <> ''""",
-    "model_json": """SELECT * FROM (VALUES (1, '{"a": 1}'), (2, '{"b": 2}'), (3, '{"c": {"d": 3}}'), (4, NULL), (5, '[1, 2]')) v(id, json)""",
-    "answer_citations": "SELECT * FROM (VALUES (1, 1, true), (1, 3, true), (1, 12, false)) v(id, n, valid)",
-    "upstream_drift": "SELECT * FROM (VALUES ('a', 'current'), ('b', 'unpinned'), ('c', 'drifted'), ('d', 'unreachable')) v(repo, status)",
+    "model_json": f"SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN r WHEN 1 THEN string_split(r, chr(10))[3] WHEN 2 THEN substr(r, 4, length(r) - 9) WHEN 4 THEN trim(r) END AS json FROM (SELECT p_partkey, {_REPLY} AS r FROM part)",
+    "answer_citations": "SELECT DISTINCT id, n, n BETWEEN 1 AND 8 AS valid FROM (SELECT p_partkey AS id, unnest([p_partkey % 11, p_size])::INTEGER AS n FROM part)",
+    "upstream_drift": "SELECT s_name AS repo, CASE WHEN s_suppkey % 7 = 0 THEN 'unreachable' WHEN s_suppkey % 5 = 0 THEN 'unpinned' WHEN s_acctbal > 5000 THEN 'current' ELSE 'drifted' END AS status FROM supplier",
     "resolve_concepts": f"""WITH a AS (SELECT unnest({list(ASKS)}) AS ask)
 SELECT ask, coalesce((SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey::VARCHAR = ask), (SELECT min(c_custkey)::VARCHAR FROM customer WHERE lower(c_name) = lower(ask) HAVING count(*) = 1),
        (SELECT min(c_custkey)::VARCHAR FROM customer WHERE contains(lower(c_name), lower(ask)) HAVING count(*) = 1)) AS id FROM a""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.search import B, IDF_FLOOR, K1, Index, best_span, filtered_search, query_phrases, span_filter, title_boost, top_k, write_index
-from corpusloom.operators.vectors import compare_runs, cosine_to, hybrid_minmax, hybrid_product, ranked, score_queries, summarize
+from corpusloom.operators.vectors import compare_runs, cosine_of, cosine_to, hybrid_minmax, hybrid_product, ranked, score_queries, summarize
 from corpusloom.sources.staging import shared_folder
 from corpusloom.sources.tables import table
 
@@ -20,8 +20,10 @@ PREFIX_QUERY = "auf ere"
 LIMIT = 10
 WEIGHT = 0.5
 BOOST = 1.5
-#: The labelled queries: rows whose vector is the query and whose label names what is relevant.
-EVAL_QUERIES = (0, 50, 100, 150, 200, 250, 300, 350, 400, 450)
+#: The labelled queries: every row whose id is divisible by this; its vector is the query and its label names what is relevant.
+EVAL_EVERY = 20
+#: Dimensions that the sweep compares.
+SWEEP = (4, 8, 16, 64)
 
 
 #: A batch of queries as users ask them: words, all of them or some, phrases, letters with marks.
@@ -33,7 +35,7 @@ BATCH = (
 _indexes: dict[tuple[str, str], Index] = {}
 
 
-def _index(spark: SparkSession, sf_dir: str) -> Index:
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
     """The index of the documents of a folder, written once a session."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _indexes:
@@ -54,28 +56,28 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(_index(spark, sf_dir).one(OR_QUERY), LIMIT))
+    return _found(top_k(index_of(spark, sf_dir).one(OR_QUERY), LIMIT))
 
 
 def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(_index(spark, sf_dir).one(AND_QUERY, mode="and"), LIMIT))
+    return _found(top_k(index_of(spark, sf_dir).one(AND_QUERY, mode="and"), LIMIT))
 
 
 def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(_index(spark, sf_dir).one(PHRASE_QUERY), LIMIT))
+    return _found(top_k(index_of(spark, sf_dir).one(PHRASE_QUERY), LIMIT))
 
 
 def bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(_index(spark, sf_dir).one(PREFIX_QUERY, prefix=True), LIMIT))
+    return _found(top_k(index_of(spark, sf_dir).one(PREFIX_QUERY, prefix=True), LIMIT))
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = _index(spark, sf_dir).best(list(BATCH), LIMIT)
+    best = index_of(spark, sf_dir).best(list(BATCH), LIMIT)
     return best.select("qid", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(filtered_search(_index(spark, sf_dir).one(OR_QUERY), _docs(spark, sf_dir), F.col("lang") == "en", LIMIT))
+    return _found(filtered_search(index_of(spark, sf_dir).one(OR_QUERY), _docs(spark, sf_dir), F.col("lang") == "en", LIMIT))
 
 
 def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,18 +98,18 @@ FILTERS = {
 
 def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of the fifty best that each set of filters lets pass."""
-    scored, located = top_k(_index(spark, sf_dir).one(OR_QUERY), 5 * LIMIT), _located(spark, sf_dir)
+    scored, located = top_k(index_of(spark, sf_dir).one(OR_QUERY), 5 * LIMIT), _located(spark, sf_dir)
     parts = [_found(filtered_search(scored, located, span_filter(**f), LIMIT, candidates=0)).withColumn("filter", F.lit(name)) for name, f in FILTERS.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 def best_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document of each source, as the best span of a document."""
-    return best_span(_index(spark, sf_dir).one(OR_QUERY, key="span_id"), _docs(spark, sf_dir).select(F.col("doc_id").alias("span_id"), F.col("source").alias("document_id"))).withColumn("score", F.round("score", 6))
+    return best_span(index_of(spark, sf_dir).one(OR_QUERY, key="span_id"), _docs(spark, sf_dir).select(F.col("doc_id").alias("span_id"), F.col("source").alias("document_id"))).withColumn("score", F.round("score", 6))
 
 
 def bm25_title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(top_k(title_boost(_index(spark, sf_dir).one(OR_QUERY), _docs(spark, sf_dir), OR_QUERY, BOOST), LIMIT))
+    return _found(top_k(title_boost(index_of(spark, sf_dir).one(OR_QUERY), _docs(spark, sf_dir), OR_QUERY, BOOST), LIMIT))
 
 
 def _cos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +122,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(_index(spark, sf_dir).one(OR_QUERY), 5 * LIMIT).withColumnRenamed("score", "lex")
+    return top_k(index_of(spark, sf_dir).one(OR_QUERY), 5 * LIMIT).withColumnRenamed("score", "lex")
 
 
 def hybrid_product_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +136,9 @@ def hybrid_minmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     used = vectors if dims is None else vectors.withColumn("embedding", F.slice("embedding", 1, dims))
-    ranking = ranked(cosine_to(used, list(EVAL_QUERIES)), LIMIT)
-    asked = vectors.where(F.col("vec_id").isin(list(EVAL_QUERIES))).select(F.col("vec_id").alias("query_id"), "label")
-    relevant = vectors.select("vec_id", "label").join(F.broadcast(asked), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    ranking = ranked(cosine_of(used, F.pmod("vec_id", F.lit(EVAL_EVERY)) == 0), LIMIT)
+    asked = vectors.where(F.pmod("vec_id", F.lit(EVAL_EVERY)) == 0).select(F.col("vec_id").alias("query_id"), "label")
+    relevant = vectors.select("vec_id", "label").join(asked, "label").where("vec_id <> query_id").select("query_id", "vec_id")
     return score_queries(ranking, relevant).join(asked, "query_id")
 
 
@@ -150,6 +152,12 @@ def metrics_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_runs(summarize(_scored(spark, sf_dir, 8)), summarize(_scored(spark, sf_dir)))
 
 
+def dimension_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries by the first so many dimensions."""
+    parts = [summarize(_scored(spark, sf_dir, n)).withColumn("dimensions", F.lit(n)) for n in SWEEP]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bm25_sql(query: str, mode: str = "or", prefix: bool = False) -> str:
     """A query `s(doc_id, score)` in SQL."""
     phrases = query_phrases(query)
@@ -186,12 +194,11 @@ _LEX = f"lx AS (SELECT doc_id, score AS lex FROM s ORDER BY score DESC, doc_id L
 
 
 def _metrics_sql(name: str, dims: str) -> str:
-    ids = ", ".join(map(str, EVAL_QUERIES))
     return f"""
 e{name} AS (SELECT vec_id, list_transform(embedding{dims}, lambda x: x::DOUBLE) AS v, label FROM embeddings),
 rk{name} AS (SELECT q.vec_id AS query_id, e.vec_id, q.label = e.label AS rel, q.label,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, e.v) DESC, e.vec_id) AS rank
-       FROM e{name} q JOIN e{name} e ON q.vec_id <> e.vec_id WHERE q.vec_id IN ({ids})),
+       FROM e{name} q JOIN e{name} e ON q.vec_id <> e.vec_id WHERE q.vec_id % {EVAL_EVERY} = 0),
 sc{name} AS (SELECT query_id, label, count(*) FILTER (rel) AS n, count(*) FILTER (rel AND rank <= 5) AS h5,
        count(*) FILTER (rel AND rank <= 10) AS h10, coalesce(1.0 / min(rank) FILTER (rel AND rank <= 10), 0.0) AS mrr FROM rk{name} GROUP BY ALL),
 q{name} AS (SELECT query_id, label, h5 / n AS recall_5, h10 / n AS recall_10, h5 / 5 AS precision_5, mrr::DOUBLE AS mrr, h10 = 0 AS miss FROM sc{name})"""
@@ -230,6 +237,7 @@ QUERIES = {
     "hybrid_minmax": hybrid_minmax_topk,
     "retrieval_metrics": retrieval_metrics,
     "metrics_compare": metrics_compare,
+    "dimension_sweep": dimension_sweep,
 }
 ORACLES = {
     "bm25_or_topk": f"WITH {bm25_sql(OR_QUERY)} {_top()}",
@@ -257,6 +265,7 @@ a AS (SELECT doc_id, CASE WHEN max(lex) OVER () = min(lex) OVER () THEN 1.0 ELSE
 b AS (SELECT doc_id, CASE WHEN max(cos) OVER () = min(cos) OVER () THEN 1.0 ELSE (cos - min(cos) OVER ()) / (max(cos) OVER () - min(cos) OVER ()) END AS v FROM c),
 h AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, {WEIGHT} * coalesce(b.v, 0) + {1 - WEIGHT} * coalesce(a.v, 0) AS score FROM a FULL JOIN b ON a.doc_id = b.doc_id) {_top('h')}""",
     "retrieval_metrics": f"WITH {_metrics_sql('', '')} SELECT label::VARCHAR AS category, {_SUMMARY} FROM q GROUP BY label UNION ALL SELECT 'all', {_SUMMARY} FROM q",
+    "dimension_sweep": "WITH " + ", ".join(_metrics_sql(f"w{n}", f"[1:{n}]") for n in SWEEP) + " " + " UNION ALL ".join(f"SELECT {n} AS dimensions, {_SUMMARY} FROM qw{n}" for n in SWEEP),
     "metrics_compare": f"""WITH {_metrics_sql('0', '[1:8]')}, {_metrics_sql('1', '')},
 d AS (SELECT (SELECT round(avg(recall_10), 6) FROM q1) - (SELECT round(avg(recall_10), 6) FROM q0) AS r, (SELECT round(avg(mrr), 6) FROM q1) - (SELECT round(avg(mrr), 6) FROM q0) AS m)
 SELECT round(r, 6) AS delta_recall_10, round(m, 6) AS delta_mrr,
