@@ -28,7 +28,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Rank that is added in Zipf's law.
 ZIPF_SHIFT = 2.7
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Characters of the units that are segmented in step and cached.
 SHORT = 48
 
@@ -168,7 +167,7 @@ class Codec:
     def __init__(self, pieces: list[tuple[str, float, int]], scores: list[float], trie: DoubleArrayTrie | None = None, prefix: bool = True) -> None:
         self.pieces, self.scores = pieces, scores
         self.prefix = " " if prefix else ""
-        self.cache: dict[str, list[int]] = {}  # of a worker, over all its tasks
+        self.cache: dict[str, bytes] = {}  # ids of words as 32-bit numbers, of a worker, over all its tasks
         coded = {p.replace(MARKER, " ").encode(): i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER_DEFINED) and p}
         self.trie = trie or DoubleArrayTrie.of(coded)
         self.bytes_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
@@ -244,7 +243,11 @@ class Codec:
         return out
 
     def best_many(self, units: list[str]) -> list[list[int]]:
-        """best() of many short texts in step: one move of the trie is one array operation over all of them."""
+        """best() of many short texts at once."""
+        return [np.frombuffer(x, dtype=np.int32).tolist() for x in self.coded_many(units)]
+
+    def coded_many(self, units: list[str]) -> list[bytes]:
+        """Ids of many short texts as 32-bit numbers, found in step: one move of the trie is one array operation over all of them."""
         raw = [u.encode("utf-8", "surrogatepass") for u in units]
         length = np.array([len(r) for r in raw])
         w, m = len(raw), int(length.max())
@@ -280,26 +283,41 @@ class Codec:
                 better = s > total[alone, to]
                 r2, to = alone[better], to[better]
                 total[r2, to], back[r2, to], piece_at[r2, to] = s[better], i, -1
-        out: list[list[int]] = []
-        for r, b, p in zip(raw, back, piece_at):
-            ids, at = [], len(r)
-            while at:
-                start, piece = int(b[at]), int(p[at])
-                if piece >= 0:
-                    ids.append(piece)
-                elif self.bytes_ids:
-                    ids.extend(self.bytes_ids[x] for x in reversed(r[start:at]))
-                else:
-                    ids.append(self.unknown)
-                at = start
-            ids.reverse()
-            out.append(ids)
+        # all texts are traced back in step, too; those with characters to spell one by one
+        traced, steps, plain = np.empty((w, m), np.int32), np.zeros(w, np.int64), np.ones(w, dtype=bool)
+        at, live, column = length.copy(), np.arange(w), m
+        while len(live):
+            piece = piece_at[live, at[live]]
+            plain[live[piece < 0]] = False
+            live, piece = live[piece >= 0], piece[piece >= 0]
+            column -= 1
+            traced[live, column] = piece
+            steps[live] += 1
+            at[live] = back[live, at[live]]
+            live = live[at[live] > 0]
+        out = [traced[i, m - n :].tobytes() for i, n in enumerate(steps.tolist())]
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self._spelled_back(raw[i], back[i].tolist(), piece_at[i].tolist())
         return out
 
-    def encode(self, texts: list[str], cache: dict[str, list[int]]) -> list[list[int]]:
+    def _spelled_back(self, raw: bytes, back: list[int], pieces: list[int]) -> bytes:
+        """Ids of one text from where its pieces start and which they are; characters without a piece are spelled."""
+        ids, at = [], len(raw)
+        while at:
+            start = back[at]
+            if pieces[at] >= 0:
+                ids.append(pieces[at])
+            elif self.bytes_ids:
+                ids.extend(self.bytes_ids[x] for x in reversed(raw[start:at]))
+            else:
+                ids.append(self.unknown)
+            at = start
+        return array("i", reversed(ids)).tobytes()
+
+    def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[np.ndarray]:
         """Ids of each text; units that the cache lacks are segmented together."""
         if self.units is None:
-            return [self.best(self.prefix + t) if t else [] for t in texts]
+            return [np.array(self.best(self.prefix + t) if t else [], dtype=np.int32) for t in texts]
         split = [self.units.findall(self.prefix + t) if t else [] for t in texts]
         here = set().union(*split)
         new = here - cache.keys()
@@ -311,17 +329,16 @@ class Codec:
         short = sorted((u for u in new if len(u) <= SHORT), key=len)
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
-            cache.update(zip(part, self.best_many(part)))
+            cache.update(zip(part, self.coded_many(part)))
         long = [u for u in new if len(u) > SHORT]
-        cache.update((u, self.best(u)) for u in long)
-        out = [list(chain.from_iterable(map(cache.__getitem__, units))) for units in split]
+        cache.update((u, array("i", self.best(u)).tobytes()) for u in long)
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, units)), dtype=np.int32) for units in split]
         for u in long:
             del cache[u]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        spelled = self.spelled
-        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -347,10 +364,9 @@ def _run(docs: DataFrame, codec: Codec, key: str, text: str) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 lists = c.encode(texts, cache)
                 same = [c.decode(ids) == t for ids, t in zip(lists, texts)]
-                coded = [np.array(ids, dtype=np.int32) for ids in lists]
-                counts = np.array([len(x) for x in coded], dtype=np.int64)
-                flat = np.concatenate(coded) if coded else np.empty(0, np.int32)
-                spelled = np.array([int(((x >= low) & (x <= high)).sum()) for x in coded], dtype=np.int64)
+                counts = np.array([len(x) for x in lists], dtype=np.int64)
+                flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
+                spelled = np.array([int(((x >= low) & (x <= high)).sum()) for x in lists], dtype=np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(counts), pa.array(spelled), pa.array(same)], names=["_key", "ids", "n_tokens", "n_byte_tokens", "round_trip"])
 
