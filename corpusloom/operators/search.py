@@ -109,6 +109,7 @@ def write_index(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int"))
     dealt = rows.repartition("bucket", "slice").sortWithinPartitions("bucket", "term", "key").drop("slice")
     dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    dealt.where(F.lit(False)).write.parquet(f"{path}/schema")  # that of an index without postings, too
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,9 @@ class Index:
     path: str
     buckets: int = BUCKETS
 
+    def _postings(self) -> DataFrame:
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.path}/schema").schema).parquet(f"{self.path}/postings")
+
     def _asked(self, queries: list[str], prefix: bool) -> tuple[DataFrame, int, bool]:
         """One row per query, phrase and place in it: qid, phrases, phrase, slots, slot, term; the longest phrase; whether any term goes on."""
         rows, go_on = [], []
@@ -132,7 +136,7 @@ class Index:
         schema = "qid int, phrases int, phrase int, slots int, slot int, term string"
         asked = self.spark.createDataFrame(rows, schema)
         if go_on:
-            terms = self.spark.read.parquet(f"{self.path}/postings").select(F.col("term").alias("whole")).where(reduce(Column.__or__, [F.col("term").startswith(r[-1]) for r in go_on])).distinct()
+            terms = self._postings().select(F.col("term").alias("whole")).where(reduce(Column.__or__, [F.col("term").startswith(r[-1]) for r in go_on])).distinct()
             begun = self.spark.createDataFrame(go_on, schema)
             asked = asked.unionByName(terms.join(F.broadcast(begun), F.col("whole").startswith(F.col("term"))).drop("term").withColumnRenamed("whole", "term"))
         return asked, max([r[3] for r in rows + go_on], default=0), bool(go_on)
@@ -143,7 +147,7 @@ class Index:
         Only the buckets of the terms asked for are read, once for the whole batch, and of them only the row groups that can hold a term.
         """
         asked, longest, goes_on = self._asked(queries, prefix)
-        postings = self.spark.read.parquet(f"{self.path}/postings")
+        postings = self._postings()
         if not goes_on:
             bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("b")
             known = asked.select("term", bucket).distinct().collect()  # the words of the batch
