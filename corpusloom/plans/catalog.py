@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import knowledge as K
+from corpusloom.operators import model as D
+from corpusloom.operators import relations as R
 from corpusloom.operators.search import bm25, top_k
+from corpusloom.sources.staging import staged
 
 MAX_PAGE = 200
 
@@ -34,7 +37,9 @@ class Catalog:
         return out
 
     def list_concepts(self, contains: str = "", kind: str | None = None, **at: int) -> DataFrame:
-        rows = self.t["concepts"].where(F.contains(F.lower("canonical_name"), F.lit(contains.lower())))
+        """Concepts whose name or an alias contains a text, in any case."""
+        low = F.lit(contains.lower())
+        rows = self.t["concepts"].where(F.contains(F.lower("canonical_name"), low) | F.coalesce(F.exists("aliases", lambda a: F.contains(F.lower(a), low)), F.lit(False)))
         return page(rows if kind is None else rows.where(F.col("kind") == kind), [F.lower("canonical_name"), F.col("id")], **at)
 
     def get_concept(self, id: str) -> DataFrame:
@@ -73,7 +78,10 @@ class Catalog:
         return self._located(self.t["spans"].where(F.col("id") == id))
 
     def list_sources(self, contains: str = "", **at: int) -> DataFrame:
-        return page(self.t["sources"].where(F.contains(F.lower("locator"), F.lit(contains.lower()))), [F.col("locator"), F.col("id")], **at)
+        """Sources whose locator or title contains a text, in any case."""
+        low = F.lit(contains.lower())
+        fit = F.contains(F.lower("locator"), low) | F.coalesce(F.contains(F.lower("title"), low), F.lit(False))
+        return page(self.t["sources"].where(fit), [F.col("locator"), F.col("id")], **at)
 
     def get_source(self, id: str) -> DataFrame:
         versions = self.t["documents"].where(F.col("source_id") == id).agg(F.count(F.lit(1)).alias("versions"), F.max("version").alias("latest"))
@@ -92,12 +100,12 @@ class Catalog:
 
     def find_path(self, start: str, goal: str, depth: int = 6) -> DataFrame:
         """One shortest path of ids within the bound, the least in order; each round is one join."""
-        step = self._edges().select("node", "neighbour").distinct()
+        step = staged(self._edges().select("node", "neighbour").distinct(), "steps")
         front = self.t["concepts"].where(F.col("id") == start).select(F.col("id").alias("node"), F.array("id").alias("path"))
         found, seen = front.where(F.col("node") == goal), front.select("node")
         for _ in range(max(1, min(depth, 6))):
             grown = front.join(step, "node").select(F.col("neighbour").alias("node"), F.concat("path", F.array("neighbour")).alias("path"))
-            front = grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+            front = staged(grown.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")), "frontier")
             found, seen = found.unionByName(front.where(F.col("node") == goal)), seen.union(front.select("node"))
         return found.orderBy(F.size("path"), "path").limit(1).select((F.size("path") - 1).alias("length"), "path")
 
@@ -135,6 +143,40 @@ class Catalog:
             out = one if out is None else out.unionByName(one)
         return page(out, [F.col("weight").desc(), F.col("kind"), F.col("subject_id")], **at)
 
+    def list_proposals(self, status: str | None = None, type: str | None = None, prefix: str | None = None, **at: int) -> DataFrame:
+        return page(D.listed(self.t["proposals"], status=status, type=type, prefix=prefix), [F.col("created_at"), F.col("id")], **at)
+
+    def list_typed_neighbors(self, id: str, types: tuple[str, ...] = (), direction: str = "both") -> DataFrame:
+        """The first fifty relationships of a concept in order of type and ends."""
+        concepts = self.t["concepts"].select("id", F.col("canonical_name").alias("name"))
+        near = self.t["links"].where((F.col("from_id") == id) | (F.col("to_id") == id))
+        return R.typed_neighbours(near, concepts, types=types, direction=direction).where(F.col("node") == id).orderBy("n")
+
+    def _flat(self) -> dict[str, DataFrame]:
+        """Concepts, claims and links with what their provenance says of them."""
+        p = "provenance"
+        return {
+            "concepts": self.t["concepts"].select("id", "vault_path", F.col(f"{p}.derivation").alias("derivation"), F.lit(None).cast("string").alias("origin_proposal_id")),
+            "claims": self.t["claims"].select("id", "subject_concept_id", "status", F.col(f"{p}.tier").alias("tier"), F.col(f"{p}.derivation").alias("derivation")),
+            "links": self.t["links"].select("id", "from_id", "to_id", "type", F.col(f"{p}.agent").alias("agent"), "active"),
+        }
+
+    def get_integrity(self) -> DataFrame:
+        flat = self._flat()
+        return D.integrity(flat["concepts"], flat["claims"], self.t["evidence"], self.t["spans"], flat["links"]).orderBy("code", "entity_id")
+
+    def list_knowledge_gaps(self, now: str, inbound: DataFrame | None = None, **at: int) -> DataFrame:
+        """All five kinds of gaps, heaviest first."""
+        flat = self._flat()
+        spans = self.t["spans"].select(F.col("id").alias("span_id"), "document_id").join(self.t["documents"].select(F.col("id").alias("document_id"), "source_id"), "document_id")
+        sources = self.t["evidence"].join(spans, "span_id").select("claim_id", "source_id")
+        found = D.gaps(flat["concepts"], flat["claims"], sources, flat["links"].where("active"), inbound, self.t["questions"], self.t["answers"], self.t["proposals"], now=now)
+        return page(found, [F.col("weight").desc(), F.col("kind"), F.col("subject_id")], **at)
+
+    def get_dissent(self, concept_id: str) -> DataFrame:
+        """Conflicts on a concept or its claims that await review."""
+        return D.dissent(self.t["concepts"], self.t["claims"], self.t["proposals"]).where(F.col("concept_id") == concept_id)
+
     def get_changes(self, since: str, until: str) -> DataFrame:
         return K.changes_between(self.t["revisions"].select("at", "entity_id", "op"), since, until)
 

@@ -58,10 +58,12 @@ def benchmark_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = lambda c: F.filter(F.split(c, r"[ \n\t]+"), lambda w: w != "")
     bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), split(F.col("text")).alias("w")).where(F.size("w") > n + 1)
     bench = bench.select("item_id", "quote", F.xxhash64(F.slice("w", 2, n)).alias("h"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", split(F.col("text")).alias("w")).where(F.size("w") >= n)
-    windows = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n))))).alias("h"))
-    side = F.broadcast(bench) if bench.count() <= 100_000 else bench
-    return windows.join(side, "h").where(F.contains("text", "quote")).select("item_id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", split(F.col("text")).alias("w")).where(F.size("w") >= n)
+    windows = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n))))).alias("h"))
+    # only keys meet; the few pairs that do fetch their texts
+    met = windows.join(bench.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    return met.join(bench.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "quote")).select("item_id", "doc_id")
 
 
 def rows_hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

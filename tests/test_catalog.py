@@ -60,3 +60,19 @@ def test_rules(tables):
         ("claim_without_evidence", "k2"), ("claim_without_evidence", "k3"), ("claims_model_without_id", "k3"), ("claims_stronger_than_inputs", "k3"),
         ("self_link", "l4"), ("span_ends_before_start", "p3"), ("superseded_without_successor", "k3"),
     ]
+
+
+def test_whole_model_reads(spark, tables):
+    t = tables | {
+        "proposals": spark.createDataFrame([("x1", "CLAIM_CONFLICT", "pending", "k1", None), ("x2", "CLAIM_CONFLICT", "pending", "c2", None), ("y3", "NEW_CLAIM", "approved", None, None)], SCHEMAS["proposals"]),
+    }
+    c = Catalog(t)
+    assert ids(c.list_proposals(status="pending")) == ["x1", "x2"] and ids(c.list_proposals(prefix="y")) == ["y3"]
+    assert [(r.neighbour, r.type, r.name) for r in c.list_typed_neighbors("c2").collect()] == [("c1", "RELATED_TO", "Graph"), ("c3", "RELATED_TO", "heap")]
+    assert [r.neighbour for r in c.list_typed_neighbors("c2", direction="out").collect()] == ["c3"] and c.list_typed_neighbors("c2", types=("X",)).count() == 0
+    found = {(r.code, r.entity_id) for r in c.get_integrity().collect()}
+    assert found == {("GR004", "l4"), ("GR009", "l4"), ("GR007", "k2"), ("GR007", "k3"), ("GR008", "c3"), ("GR008", "c4")}
+    kinds = [(r.kind, r.subject_id) for r in c.list_knowledge_gaps("2024-03-01 00:00:00").collect()]
+    assert ("unresolved_dispute", "k2") in kinds and ("concept_without_claims", "c3") in kinds and not any(k == "claim_with_single_source" for k, _ in kinds)
+    assert [(r.proposal_id, r.claim_id) for r in c.get_dissent("c1").collect()] == [("x1", "k1")] and [r.claim_id for r in c.get_dissent("c2").collect()] == [None]
+    assert ids(c.list_sources(contains="b")) == ["s2"] and c.list_sources(contains="A").first().id == "s1"
