@@ -8,8 +8,8 @@ quota is as many whole passes over the line as fit, and then the blocks from a s
 the line. So the words taken of a document follow from its place in the line alone, and documents stay whole
 but for two a shard; blocks drawn one by one would leave snippets of BLOCK words.
 
-At most MAX_SHARDS shards a source bound what apportionment sees; there is one row per source in
-the plan of sources. Only document keys and sizes are shuffled (and columns asked to be carried).
+At most MAX_SHARDS shards a source bound what apportionment sees. Up to SOURCES_AT_ONCE sources are planned
+in one task; more of them (domains, say) by the same rules in sums over all sources, with ranks from the totals of partitions. Only document keys and sizes are shuffled (and columns asked to be carried).
 
 Defined results: a null text has size 0 and is taken 0 words; null is a source of its own, last in
 order; a corpus without words has targets of 0; texts of any length count with all their words; rows of one key,
@@ -20,6 +20,7 @@ read but the named columns, and mixed_documents passes others on whatever their
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,10 @@ MAX_REPEATS = 3
 BLOCK = 8
 SHARD_DOCS = 256
 MAX_SHARDS = 1 << 18
+#: Sources that one task plans, some hundred bytes each.
+SOURCES_AT_ONCE = 1_000_000
+#: Divisors that are tried in one pass over the sources.
+TRIED = 31
 SEED = 20
 
 
@@ -107,6 +112,62 @@ def plan_sources(sources: pd.DataFrame, weights: tuple[float, ...], block: int)
     return pd.DataFrame({"source": [names[i] for i in order], "src": np.arange(len(size)), "source_size": size, "target": target, "source_quota": quota, "n_shards": shards})
 
 
+def numbered(rows: DataFrame, *order: Column, into: str) -> DataFrame:
+    """The rows with their place (from 0) in an order that no two share, from the counts of partitions; no task sees all rows."""
+    held = staged(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "in-order")
+    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return held.join(F.broadcast(counts), "_part").withColumn(into, F.col("_before") + at).drop("_part", "_before")
+
+
+def plan_many_sources(sources: DataFrame, weights: tuple[float, ...], block: int) -> DataFrame:
+    """plan_sources for any number of sources: the same columns, from sums over all of them."""
+    rows = numbered(sources, F.col("source").isNull(), F.col("source"), into="src")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("src", F.lit(len(weights))) + 1).cast("int"))
+    size = F.col("source_size")
+    rows = staged(rows.select("*", w.alias("_w"), (size * MAX_REPEATS).alias("_most"), F.ceil(size * MAX_REPEATS / block).cast("bigint").alias("_cap")), "weighed")
+    total = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, capped = 0.0, -1
+    while True:
+        # what the level caps stays capped, as the level only rises
+        over = F.col("_w") * level > F.col("_most") if capped >= 0 else F.lit(False)
+        n, fixed, free = rows.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("_most"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0.0))).first()
+        if n == capped or not free:
+            break
+        level, capped = (float(total) - float(fixed)) / free, n
+    over = F.col("_w") * level > F.col("_most")
+    rows = rows.withColumn("target", F.when(over, F.col("_most").cast("double")).otherwise(F.col("_w") * level))
+    seats = min(round(total / block), rows.agg(F.coalesce(F.sum(F.when(F.col("target") > 0, F.col("_cap"))), F.lit(0))).first()[0])
+
+    def held(d: float) -> Column:
+        return F.least(F.col("_cap"), F.floor((F.col("target") / F.lit(d) + 1) / 2))
+
+    high = float(rows.agg(F.coalesce(F.max("target"), F.lit(0.0))).first()[0]) * 2
+    low = high
+    while seats > 0 and rows.agg(F.sum(held(low))).first()[0] < seats:
+        low /= 1024
+    # the least divisor that serves no more than the seats, many tried in one pass
+    while seats > 0 and math.nextafter(low, high) < high:
+        tried = sorted({t for i in range(1, TRIED + 1) if low < (t := low + (high - low) * i / (TRIED + 1)) < high}) or [math.nextafter(low, high)]
+        sums = rows.agg(*[F.sum(held(t)) for t in tried]).first()
+        fits = [t for t, n in zip(tried, sums) if n <= seats]
+        low, high = max([low, *[t for t, n in zip(tried, sums) if n > seats]]), min([high, *fits])
+    got = held(high) if seats > 0 else F.lit(0).cast("bigint")
+    rows = rows.withColumn("_got", got)
+    left = seats - (rows.agg(F.coalesce(F.sum("_got"), F.lit(0))).first()[0]) if seats > 0 else 0
+    quota = F.col("_got")
+    if left > 0:
+        # sources that the next divisor would serve stand level with each other; the first in order get one more
+        tied = numbered(rows.where(held(low) > F.col("_got")).select(F.col("src").alias("_src")), F.col("_src"), into="_at").where(F.col("_at") < left)
+        rows = rows.join(tied.select("_src", F.lit(1).alias("_more")), F.col("src") == F.col("_src"), "left")
+        quota = F.col("_got") + F.coalesce("_more", F.lit(0))
+    shards = F.least(F.greatest(F.ceil(F.col("docs") / SHARD_DOCS), F.lit(1)), F.lit(MAX_SHARDS)).cast("bigint")
+    return rows.select("source", F.col("src").cast("bigint").alias("src"), "source_size", "target", quota.cast("bigint").alias("source_quota"), shards.alias("n_shards"))
+
+
 def plan_shards(shards: pd.DataFrame, block: int) -> pd.DataFrame:
     """Block quotas of the shards of one source, in proportion to their tokens."""
     shards = shards.sort_values("shard").reset_index(drop=True)
@@ -126,14 +187,16 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
     rows = docs.select(F.col(key).alias("_k"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_t"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     slim = staged(rows.select("_k", "_source", "size", "_t"), "sizes")
     by_source = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
+    by_source = staged(by_source, "sizes-of-sources")
     kind = slim.schema["_source"].dataType.simpleString()
-    sources = staged(
-        by_source.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(
+    if by_source.count() > SOURCES_AT_ONCE:
+        planned = plan_many_sources(by_source, weights, block)
+    else:
+        planned = by_source.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(
             lambda p: plan_sources(p, weights, block),
             f"source {kind}, src bigint, source_size bigint, target double, source_quota bigint, n_shards bigint",
-        ),
-        "sources",
-    )
+        )
+    sources = staged(planned, "sources")
 
     def placed(some: DataFrame) -> DataFrame:
         found = lookup(some, sources, F.col("_source"), "source")

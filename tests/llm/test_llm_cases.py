@@ -239,6 +239,28 @@ def test_mix_of_hard_rows(spark, broadcast, monkeypatch):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_many_sources_are_planned_as_few_are(spark, seed):
+    import pandas as pd
+
+    r = random.Random(seed)
+    names = [None, *{f"s{r.randint(0, 999)}é" for _ in range(60)}, "", "Z"]
+    sizes = [r.choice([0, 0, 1, 7, 40, 40, 40, 40, 1000, 10**6 if seed == 1 else 90]) for _ in names]
+    rows = [(n, z, r.randint(1, 2000)) for n, z in zip(names, sizes)]
+    want = mixing.plan_sources(pd.DataFrame(rows, columns=["source", "source_size", "docs"]), mixing.WEIGHTS, 8)
+    got = mixing.plan_many_sources(spark.createDataFrame(rows, "source string, source_size bigint, docs bigint").repartition(3), mixing.WEIGHTS, 8).orderBy("src").collect()
+    assert [r.source for r in got] == [None if s is None or s != s else s for s in want.source]
+    assert [r.target for r in got] == pytest.approx(want.target.tolist(), rel=1e-12)
+    assert [(r.src, r.source_size, r.source_quota, r.n_shards) for r in got] == list(zip(want.src, want.source_size, want.source_quota, want.n_shards))
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    docs = documents(spark)
+    few = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SOURCES_AT_ONCE", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == few and mixing.mix(docs.where("false")).count() == 0
+
+
 # -- quality
 
 
