@@ -156,9 +156,9 @@ def resolve_names(asked: DataFrame, concepts: DataFrame) -> DataFrame:
     return asked.join(first, "ask", "left").select("ask", F.when(F.col("h.n") == 1, F.col("h.id")).alias("id"))
 
 
-def rates(rows: DataFrame, good: Column, measured: Column, *by: str) -> DataFrame:
-    """Share of good rows among the measured ones; 0 where none was measured."""
+def rates(rows: DataFrame, good: Column, measured: Column, *by: str, empty: float = 0.0) -> DataFrame:
+    """Share of good rows among the measured ones; `empty` where none was measured (1 for grounding: nothing was said without ground)."""
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(measured).alias("measured"),
-        F.round(F.coalesce(F.count_if(good & measured) / F.when(F.count_if(measured) > 0, F.count_if(measured)), F.lit(0.0)), 6).alias("rate"),
+        F.round(F.coalesce(F.count_if(good & measured) / F.when(F.count_if(measured) > 0, F.count_if(measured)), F.lit(empty)), 6).alias("rate"),
     )

@@ -124,9 +124,13 @@ def resolve_relative(links: DataFrame, files: DataFrame) -> DataFrame:
     return out.select(*links.columns, F.when(hit, "RESOLVED").otherwise("MISSING").alias("status"), F.when(hit, F.col("resolved_path")).alias("resolved_path"))
 
 
+#: Fixed value: names of pages that hold a vault together and are no concepts.
+STRUCTURAL = r"(?i)^(_.*|readme|index|roadmap|\d\d-.*)$"
+
+
 def ambiguous_stems(paths: DataFrame) -> DataFrame:
-    """Normalised stems that name more than one path: norm, paths."""
-    named = paths.select(normalize(stem(F.col("path"))).alias("norm"), "path").where("norm <> ''")
+    """Normalised stems that name more than one path: norm, paths. Names that hold the vault together are left out."""
+    named = paths.where(~stem(F.col("path")).rlike(STRUCTURAL)).select(normalize(stem(F.col("path"))).alias("norm"), "path").where("norm <> ''")
     return named.groupBy("norm").agg(F.countDistinct("path").alias("paths")).where("paths > 1")
 
 

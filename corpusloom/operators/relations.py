@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.graph import MAX_DEPTH, NEIGHBOUR_CAP
-from corpusloom.operators.links import normalize, stem
+from corpusloom.operators.links import STRUCTURAL, normalize, stem
 from corpusloom.operators.model import LINK_TYPES
 from corpusloom.sources.staging import staged
 
 #: Revisions that a change report looks at, and nodes that a search visits.
 SCAN, NODE_BUDGET = 20_000, 500
-#: Fixed value: names of pages that hold the vault together and are no concepts.
-STRUCTURAL = r"(?i)^(_.*|readme|index|roadmap|\d\d-.*)$"
 #: Letters of a name that can be mentioned, and spans that two concepts share to be related.
 MENTION, SHARED = 6, 2
 

@@ -90,11 +90,12 @@ def convention_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What extracting each document would cost: cached sources, copies after the first, texts too short, the rest pending with two calls."""
+    """What extracting each document would cost: cached sources, documents that were not ingested (here: not labelled), texts too short, copies after the first, the rest pending with two calls."""
     docs = _docs(spark, sf_dir)
-    rows = docs.select("doc_id", "source", C.content_hash(F.col("text")).alias("h"), F.char_length(F.trim(F.coalesce("text", F.lit("")))).alias("size"))
-    first = rows.where("source <> 'src1'").groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    status = F.when(F.col("source") == "src1", "cached").when(F.col("size") < 40, "no_spans").when(F.col("doc_id") != F.col("first_id"), "duplicate").otherwise("pending")
+    known = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("ingested")).distinct()
+    rows = docs.join(known, "doc_id", "left").select("doc_id", "source", "ingested", C.content_hash(F.col("text")).alias("h"), F.char_length(F.trim(F.coalesce("text", F.lit("")))).alias("size"))
+    first = rows.where("source <> 'src1' and ingested").groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    status = F.when(F.col("source") == "src1", "cached").when(F.col("ingested").isNull(), "not_ingested").when(F.col("size") < 40, "no_spans").when(F.col("doc_id") != F.col("first_id"), "duplicate").otherwise("pending")
     out = rows.join(first, "h", "left").select("source", status.alias("status"))
     return out.groupBy("source", "status").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when(F.col("status") == "pending", 2).otherwise(0)).alias("calls"))
 
@@ -130,8 +131,8 @@ ORACLES = {
     "ambiguity_index": rf"WITH {_PAGES}, s AS (SELECT path, regexp_replace(lower(regexp_replace(name, '\.md$', '')), '[^a-z0-9]+', '', 'g') AS norm FROM nm) SELECT norm, count(DISTINCT path) AS paths FROM s WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT path) > 1",
     "convention_report": rf"""WITH {_PAGES}, s AS (SELECT 'english' AS system, count(*) AS files, count(*) FILTER (({_STYLE}) = 'kebab-case') AS conforming FROM nm WHERE contains(path, '/en/')
 UNION ALL SELECT 'everywhere', count(*), count(*) FILTER (regexp_matches(name, '^[0-9]+\.md$')) FROM nm) SELECT *, round(100.0 * conforming / greatest(files, 1), 1) AS percent FROM s""",
-    "extraction_plan": f"""WITH r AS (SELECT doc_id, source, {_HASH} AS h, length(trim(coalesce(text, ''))) AS size FROM documents),
-f AS (SELECT h, min(doc_id) AS first_id FROM r WHERE source <> 'src1' GROUP BY h),
-s AS (SELECT source, CASE WHEN source = 'src1' THEN 'cached' WHEN size < 40 THEN 'no_spans' WHEN doc_id <> first_id THEN 'duplicate' ELSE 'pending' END AS status FROM r LEFT JOIN f USING (h))
+    "extraction_plan": f"""WITH r AS (SELECT doc_id, source, {_HASH} AS h, length(trim(coalesce(text, ''))) AS size, doc_id IN (SELECT doc_id FROM labels) AS ing FROM documents),
+f AS (SELECT h, min(doc_id) AS first_id FROM r WHERE source <> 'src1' AND ing GROUP BY h),
+s AS (SELECT source, CASE WHEN source = 'src1' THEN 'cached' WHEN NOT ing THEN 'not_ingested' WHEN size < 40 THEN 'no_spans' WHEN doc_id <> first_id THEN 'duplicate' ELSE 'pending' END AS status FROM r LEFT JOIN f USING (h))
 SELECT source, status, count(*) AS documents, (2 * count(*) FILTER (status = 'pending'))::BIGINT AS calls FROM s GROUP BY ALL""",
 }

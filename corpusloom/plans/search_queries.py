@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.search import B, IDF_FLOOR, K1, Index, best_span, filtered_search, query_phrases, span_filter, title_boost, top_k, write_index
-from corpusloom.operators.vectors import compare_runs, cosine_of, cosine_to, hybrid_minmax, hybrid_product, ranked, score_queries, summarize
+from corpusloom.operators.vectors import compare_runs, cosine_of, cosine_to, hybrid_minmax, hybrid_product, ranked, score_queries, semantic_only, summarize
 from corpusloom.sources.staging import shared_folder
 from corpusloom.sources.tables import table
 
@@ -121,6 +121,12 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("doc_id").alias("vec_id"), F.round("cos", 6).alias("score"))
 
 
+def semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as spans of documents, seven of each."""
+    spans = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("span_id"), F.floor(F.col("vec_id") / 7).alias("document_id"))
+    return semantic_only(_cos(spark, sf_dir).withColumnRenamed("doc_id", "span_id"), spans, LIMIT).withColumn("score", F.round("score", 6))
+
+
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(index_of(spark, sf_dir).one(OR_QUERY), 5 * LIMIT).withColumnRenamed("score", "lex")
 
@@ -238,6 +244,7 @@ QUERIES = {
     "retrieval_metrics": retrieval_metrics,
     "metrics_compare": metrics_compare,
     "dimension_sweep": dimension_sweep,
+    "semantic_documents": semantic_documents,
 }
 ORACLES = {
     "bm25_or_topk": f"WITH {bm25_sql(OR_QUERY)} {_top()}",
@@ -256,6 +263,8 @@ f AS (SELECT p.* FROM p JOIN documents USING (doc_id) WHERE lang = 'en') {_top('
 b AS (SELECT doc_id, score * CASE WHEN {' OR '.join(f"contains(lower(string_split(text, chr(10))[1]), '{t}')" for t in _TERMS)} THEN {BOOST} ELSE 1 END AS score
       FROM s JOIN documents USING (doc_id)) {_top('b')}""",
     "vector_topk": f"WITH {_COS} SELECT doc_id AS vec_id, round(cos, 6) AS score FROM c ORDER BY cos DESC, doc_id LIMIT {LIMIT}",
+    "semantic_documents": f"""WITH {_COS}, t AS (SELECT doc_id AS span_id, cos, doc_id // 7 AS document_id FROM c ORDER BY cos DESC, doc_id LIMIT 90),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY cos DESC, span_id) = 1) SELECT document_id, span_id, round(cos, 6) AS score FROM b ORDER BY b.cos DESC, document_id LIMIT {LIMIT}""",
     "hybrid_product": f"""WITH {bm25_sql(OR_QUERY)}, {_COS}, {_LEX},
 x AS (SELECT doc_id, cos FROM c ANTI JOIN lx USING (doc_id) ORDER BY cos DESC, doc_id LIMIT {max(LIMIT, 10)}),
 u AS (SELECT doc_id, lex, cos FROM lx LEFT JOIN c USING (doc_id) UNION ALL SELECT doc_id, NULL, cos FROM x),
