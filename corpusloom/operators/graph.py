@@ -64,12 +64,18 @@ def capped_neighbours(edges: DataFrame, cap: int = NEIGHBOUR_CAP) -> DataFrame:
     return both_ways(edges).withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select(F.col("a").alias("node"), F.col("b").alias("neighbour"), "n")
 
 
-def within_depth(steps: DataFrame, start: int, depth: int, *, budget: int | None = None) -> DataFrame:
+def adjacency(edges: DataFrame, cap: int = NEIGHBOUR_CAP) -> DataFrame:
+    """Steps of a search: what capped_neighbours gave, stored before, or made of edges (a, b) and stored now."""
+    return edges if "neighbour" in edges.columns else staged(capped_neighbours(edges, cap), "steps")
+
+
+def within_depth(edges: DataFrame, start: int, depth: int, cap: int = NEIGHBOUR_CAP, *, budget: int | None = None) -> DataFrame:
     """Nodes that lie within `depth` steps (clamped to 1..3) of the start: node, depth.
 
-    steps: node, neighbour, as capped_neighbours gives them, stored. A budget stops the search after the round in which
+    edges: a, b, or stored steps (node, neighbour). A budget stops the search after the round in which
     it is reached and keeps as many nodes, nearest first, then by id.
     """
+    steps = adjacency(edges, cap)
     seen = steps.sparkSession.createDataFrame([(start, 0)], "node bigint, depth int")
     front, held = seen, 0
     for d in range(1, max(1, min(depth, MAX_DEPTH)) + 1):
@@ -84,8 +90,9 @@ def within_depth(steps: DataFrame, start: int, depth: int, *, budget: int | None
     return found if budget is None else found.orderBy("depth", "node").limit(budget)
 
 
-def shortest_path(steps: DataFrame, start: int, goal: int, depth: int = MAX_PATH) -> DataFrame:
-    """One shortest path within the bound (clamped to 1..6), the least in order of ids: length, path; no row if none. steps as for within_depth."""
+def shortest_path(edges: DataFrame, start: int, goal: int, depth: int = MAX_PATH, cap: int = NEIGHBOUR_CAP) -> DataFrame:
+    """One shortest path within the bound (clamped to 1..6), the least in order of ids: length, path; no row if none. edges as for within_depth."""
+    steps = adjacency(edges, cap)
     spark = steps.sparkSession
     front = spark.createDataFrame([(start, [start])], "node bigint, path array<bigint>")
     if start == goal:
