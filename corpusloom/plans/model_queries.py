@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import model as D
 from corpusloom.operators.markdown import navigation
+from corpusloom.plans import reports
 from corpusloom.sources.tables import table
 
 NOW = "2024-03-01 00:00:00"
@@ -193,6 +194,16 @@ def revisions_evolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evolved(spark, sf_dir)["revisions"].groupBy("op").agg(F.count(F.lit(1)).alias("revisions"))
 
 
+def model_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dashboard shows, and what the next steps follow from."""
+    m = {n: _model(spark, sf_dir, n) for n in ("concepts", "claims", "links", "proposals", "questions", "evidence")}
+    return reports.state({
+        "concepts": m["concepts"], "claims": m["claims"], "relationships": m["links"].where("active"), "pending_proposals": m["proposals"].where("status = 'pending'"),
+        "disputed_claims": m["claims"].where("status = 'DISPUTED'"), "open_questions": m["questions"].where("status = 'OPEN'"),
+        "unevidenced_claims": m["claims"].join(m["evidence"].select(F.col("claim_id").alias("id")), "id", "left_anti"),
+    })
+
+
 # -- evaluation
 
 _CASES = """SELECT p_partkey AS case_id, {list}(p_name, 'B-tree ' || p_brand, 'b tree ' || p_brand, p_type) AS expected, {list}('Table of Contents', 'Section ' || CAST(p_size AS STRING)) AS forbidden,
@@ -300,7 +311,7 @@ ps AS (SELECT p_partkey AS path, p_type AS name, p_partkey % 3 = 0 AS recovered,
 QUERIES = {
     q.__name__: q
     for q in (model_integrity, integrity_by_code, knowledge_gaps, knowledge_gaps_uncounted, belief_dissent, unreferenced_concepts, pruned_links, stale_concepts, proposals_listed, proposals_by_prefix, proposals_bulk, concepts_by_name,
-              claims_activated, evidence_activated, claims_activated_again, matches_activated, aliases_grown, concepts_activated, claims_evolved, evidence_evolved, revisions_evolved, extraction_scores, extraction_summary,
+              claims_activated, evidence_activated, claims_activated_again, matches_activated, aliases_grown, concepts_activated, claims_evolved, evidence_evolved, revisions_evolved, model_state, extraction_scores, extraction_summary,
               extraction_runs, page_scores, recovery_by_shape, extraction_spans, quotes_of_code, gap_words, excerpts)
 }
 ORACLES = {
@@ -336,6 +347,9 @@ FROM m_claims c LEFT JOIN rf ON rf.cid = c.id LEFT JOIN cf ON cf.cid = c.id UNIO
     "evidence_evolved": f"WITH {_EVOLVED} SELECT refined AS statement, span AS span_id FROM rf",
     "revisions_evolved": f"""WITH {_EVOLVED}, sp AS (SELECT DISTINCT cid FROM ap WHERE t = 0 AND (cid, span) NOT IN (SELECT (claim_id, span_id) FROM m_evidence)), ch AS (SELECT cid FROM cf WHERE cid NOT IN (SELECT cid FROM rf) UNION SELECT cid FROM sp)
 SELECT 'CREATE' AS op, count(*) AS revisions FROM rf UNION ALL SELECT 'SUPERSEDE', count(*) FROM rf UNION ALL SELECT 'CHANGE', count(*) FROM ch""",
+    "model_state": f"""WITH {_sql('concepts', 'claims', 'links', 'proposals', 'questions', 'evidence')} SELECT 'concepts' AS name, count(*) AS value FROM m_concepts UNION ALL SELECT 'claims', count(*) FROM m_claims UNION ALL SELECT 'relationships', count(*) FROM m_links WHERE active
+UNION ALL SELECT 'pending_proposals', count(*) FROM m_proposals WHERE status = 'pending' UNION ALL SELECT 'disputed_claims', count(*) FROM m_claims WHERE status = 'DISPUTED' UNION ALL SELECT 'open_questions', count(*) FROM m_questions WHERE status = 'OPEN'
+UNION ALL SELECT 'unevidenced_claims', count(*) FROM m_claims WHERE id NOT IN (SELECT claim_id FROM m_evidence)""",
     "extraction_scores": f"WITH {_scores_sql('sc', 'true')} SELECT case_id, " + ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("found", "missed", "junk", "extra")) + " FROM sc",
     "extraction_summary": f"WITH {_scores_sql('sc', 'case_id % 4 <> 0')} SELECT count(*) AS cases, round(sum(len(found)) / sum(len(found) + len(missed)), 6) AS recall, round(sum(len(junk)) / sum(len(found) + len(junk) + len(extra)), 6) AS junk_rate FROM sc",
     "extraction_runs": f"""WITH {_scores_sql('sa', 'case_id % 4 <> 0', 'case_id % 10 <> 1')}, {_scores_sql('sb', 'case_id % 6 <> 0', 'case_id % 10 <> 2')}

@@ -14,6 +14,7 @@ from corpusloom.operators import corpus as C
 from corpusloom.operators import frontmatter as W
 from corpusloom.operators import links as L
 from corpusloom.operators import markdown as M
+from corpusloom.plans import reports
 from corpusloom.sources.tables import table
 
 #: Every eleventh file is linked to by others of its number.
@@ -170,6 +171,14 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.all_tags(_files(spark, sf_dir)).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("files"))
 
 
+def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.dead_links(_resolved(spark, sf_dir), reports.DEAD_LINKS["page"])
+
+
+def largest_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.largest_folders(folder_stats(spark, sf_dir), 3)
+
+
 def navigation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of some linked lines and some others."""
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "repeat('- [[' || p_name || ']]\\n', CAST(p_partkey % 7 AS INT)) || repeat('[a](b.md) x\\n \\n', CAST(p_partkey % 3 AS INT)) || repeat('plain\\n', CAST(p_partkey % 5 AS INT)) AS text")
@@ -218,7 +227,7 @@ _FIND = "CASE WHEN path IN (SELECT path FROM f)"
 QUERIES = {
     q.__name__: q
     for q in (vault_wikilinks, link_cascade, link_report, link_status_counts, inbound_links, md_links, tags_inline, tags_union, md_titles, md_headings, md_heading_spans, frontmatter_codes, frontmatter_report, wikilink_repairs,
-              repairs_verified, repairs_applied, related_fields, name_shapes, kinds_by_folder, folder_stats, tag_histogram, navigation_spans)
+              repairs_verified, repairs_applied, related_fields, name_shapes, kinds_by_folder, folder_stats, tag_histogram, navigation_spans, dead_links, largest_folders)
 }
 ORACLES = {
     "vault_wikilinks": f"WITH {_LINES} SELECT * FROM w",
@@ -250,5 +259,8 @@ SELECT path, CASE WHEN k % 16 = 4 THEN 99 ELSE line END AS line, refused, CASE W
     "name_shapes": f"WITH {_FILES.format(part='part')} SELECT path, {_SHAPE} AS shape FROM (SELECT path, name AS n FROM f)",
     "kinds_by_folder": f"WITH {_FILES.format(part='part')} SELECT path, CASE folder WHEN 'DSA' THEN 'topic' WHEN 'DSA/01_Patterns' THEN 'pattern' WHEN 'Tech' THEN 'technology' ELSE 'concept' END AS kind FROM f",
     "folder_stats": f"WITH {_LINES} SELECT string_split(folder, '/')[1] AS folder, count(*) AS files, sum(len(ls))::BIGINT AS lines, count(*) FILTER (has) AS with_frontmatter FROM g GROUP BY 1",
+    "dead_links": f"""WITH {_CASCADE}, d AS (SELECT * FROM r WHERE status NOT IN ('RESOLVED', 'CASE_MISMATCH', 'PATH_MISMATCH'))
+SELECT target, count(*) AS links, count(DISTINCT source_path) AS sources, array_to_string(list_sort(list(DISTINCT source_path))[1:3], ', ') AS shown FROM d GROUP BY target ORDER BY links DESC, target LIMIT 100""",
+    "largest_folders": f"WITH {_LINES} SELECT string_split(folder, '/')[1] AS folder, count(*) AS files, sum(len(ls))::BIGINT AS lines, count(*) FILTER (has) AS with_frontmatter FROM g GROUP BY 1 ORDER BY lines DESC, folder LIMIT 3",
     "navigation_spans": "SELECT p_partkey AS k, l >= 4 AND 2 * l >= l + p_partkey % 5 AS navigation FROM (SELECT p_partkey, p_partkey % 7 + p_partkey % 3 AS l FROM part)",
 }
