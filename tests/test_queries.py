@@ -21,7 +21,7 @@ def test_query_equals_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, name):
     assert name.startswith("rows_")
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    assert QUERIES[name](spark, FOLDER).count() > 0  # test_rows.py compares them with plain versions
 
 
 def test_entry_has_a_stable_schema(spark):
