@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.links import normalize
-from corpusloom.operators.matching import quote_presence
+from corpusloom.operators.matching import held_names, quote_presence
+from corpusloom.sources.staging import staged
 
 #: The states that may follow each state of a proposal.
 MOVES = {"pending": ("approved", "rejected", "superseded"), "approved": ("activated", "superseded"), "activated": ("superseded",), "rejected": ("superseded",), "superseded": ()}
@@ -80,27 +81,22 @@ def capped_claims(claims: DataFrame, candidates: DataFrame) -> DataFrame:
 def narrow(concepts: DataFrame, spans: DataFrame, edges: DataFrame, *, cap: int = 12) -> DataFrame:
     """Concepts that evidence may bear on: concept, selector; the first selector wins, then rank and name, then the cap.
 
-    concepts: concept, aliases; spans: text, heading; edges: a, b over concepts. Names and spans meet on the first LEAST letters of
-    a name, which occur in a span that holds it, so any number of spans is an equi-join; few pairs are then compared whole.
+    concepts: concept, aliases; spans: text, heading; edges: a, b over concepts. Names and texts meet as wholes (held_names), texts by their normalised form.
     """
     least = 4
 
-    def grams(column: str) -> DataFrame:
-        flat = spans.select(normalize(F.col(column)).alias("hay")).where(F.length("hay") >= least).distinct()
-        starts = F.transform(F.sequence(F.lit(1), F.length("hay") - least + 1), lambda i: F.substring("hay", i, F.lit(least)))
-        return flat.select("hay", F.explode(F.array_distinct(starts)).alias("g"))
-
     def holding(names: DataFrame, column: str, selector: str) -> DataFrame:
-        fit = names.where(F.length("name") >= least).withColumn("g", F.substring("name", 1, least))
-        return fit.join(grams(column), "g").where(F.contains("hay", F.col("name"))).select("concept", F.lit(selector).alias("selector")).distinct()
+        texts = spans.select(normalize(F.col(column)).alias("hay")).where(F.length("hay") >= least).distinct().select(F.col("hay").alias("key"), "hay")
+        found = held_names(names, texts, least=least).select("name").distinct()
+        return names.join(found.hint("merge"), "name").select("concept", F.lit(selector).alias("selector"))
 
     named = concepts.select("concept", normalize(F.col("concept")).alias("name"))
     others = concepts.select("concept", F.explode("aliases").alias("a")).select("concept", normalize(F.col("a")).alias("name"))
     place = F.array_position(F.array(*[F.lit(s) for s in SELECTORS]), F.col("selector"))
     direct = holding(named, "text", "exact_name").unionByName(holding(others, "text", "alias")).unionByName(holding(named, "heading", "heading"))
-    direct = direct.groupBy("concept").agg(F.min_by("selector", place).alias("selector"))
-    near = edges.select("a", "b").union(edges.select("b", "a")).join(direct.select(F.col("concept").alias("a")), "a").select(F.col("b").alias("concept")).distinct()
-    near = near.join(direct, "concept", "left_anti").select("concept", F.lit("graph_neighbour").alias("selector"))
+    direct = staged(direct.groupBy("concept").agg(F.min_by("selector", place).alias("selector")), "selected")
+    near = edges.select("a", "b").union(edges.select("b", "a")).join(direct.select(F.col("concept").alias("a")).hint("merge"), "a").select(F.col("b").alias("concept")).distinct()
+    near = near.join(direct.hint("merge"), "concept", "left_anti").select("concept", F.lit("graph_neighbour").alias("selector"))
     return direct.unionByName(near).orderBy(place, "concept").limit(cap)
 
 

@@ -48,3 +48,51 @@ def test_names_that_are_found_are_not_compared(spark, monkeypatch):
     asked = known.selectExpr("upper(concept) AS name").union(spark.range(300).selectExpr("'proposed ' || id AS name"))
     got = X.match_names(asked, known, spark.createDataFrame([], "norm string, concept string")).groupBy("stage").count().collect()
     assert {r.stage: r["count"] for r in got} == {"exact": 300, "none": 300} and seen.value < 600
+
+
+def _rows_joined(df):
+    """Rows that each join of an executed plan gives, joins of stages included."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        if "Join" in kind:
+            found.append(p.metrics().apply("numOutputRows").value())
+    return found
+
+
+def test_names_of_one_beginning_meet_as_wholes(spark):
+    names = spark.range(500).selectExpr("'brandname' || id || 'q' AS name")
+    texts = spark.range(400).selectExpr("id AS key", "'on brandname' || id || 'q' AS hay").selectExpr("key", "replace(hay, ' ', '') AS hay")
+    got = X.held_names(names, texts, least=4)
+    assert max(_rows_joined(got)) <= 400 * 3
+    assert {(r.name, r.key) for r in got.collect()} == {(f"brandname{i}q", i) for i in range(400)}
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_held_names_are_all_that_occur(spark, monkeypatch, sent):
+    monkeypatch.setattr(X, "SENT", sent)
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ab") for _ in range(n))
+    names, texts = {word(r.randrange(12)) for _ in range(200)}, {i: word(r.randrange(30)) for i in range(80)}
+    got = X.held_names(spark.createDataFrame([(n,) for n in [*names, *list(names)[:9], None]], "name string"), spark.createDataFrame([*texts.items(), (99, None)], "key int, hay string"), least=4).collect()
+    want = sorted((n, k) for n in names if len(n) >= 4 for k, t in texts.items() if n in t)
+    assert sorted((g.name, g.key) for g in got) == want
+
+
+def test_narrowing_does_not_pair_names_of_one_beginning(spark):
+    from corpusloom.operators import lifecycle as Y
+
+    concepts = spark.range(400).selectExpr("'Blue Ring ' || id || 'z' AS concept", "array('Brand kind ' || id || 'q', NULL) AS aliases")
+    spans = spark.range(300).selectExpr("'on blue-ring ' || id || 'z and brand kind ' || (id + 50) || 'q' AS text", "NULL AS heading")
+    seen = spark.sparkContext.accumulator(0)
+    contains = F.contains
+    F_contains = F.udf(lambda hay, name: (seen.add(1), name in hay)[1], "boolean")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(F, "contains", lambda a, b: F_contains(a, b))
+        got = {r.concept: r.selector for r in Y.narrow(concepts, spans, spark.createDataFrame([("Blue Ring 399z", "Blue Ring 1z")], "a string, b string"), cap=1000).collect()}
+    assert F.contains is contains and seen.value < 3000
+    want = {f"Blue Ring {i}z": "exact_name" for i in range(300)} | {f"Blue Ring {i}z": "alias" for i in range(300, 350)} | {"Blue Ring 399z": "graph_neighbour"}
+    assert got == want
