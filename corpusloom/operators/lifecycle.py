@@ -87,7 +87,7 @@ def narrow(concepts: DataFrame, spans: DataFrame, edges: DataFrame, *, cap: int
 
     def holding(names: DataFrame, column: str, selector: str) -> DataFrame:
         texts = spans.select(normalize(F.col(column)).alias("hay")).where(F.length("hay") >= least).distinct().select(F.col("hay").alias("key"), "hay")
-        found = held_names(names, texts, least=least).select("name").distinct()
+        found = held_names(names.select("name"), texts, least=least).select("name").distinct()
         return names.join(found.hint("merge"), "name").select("concept", F.lit(selector).alias("selector"))
 
     named = concepts.select("concept", normalize(F.col("concept")).alias("name"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.operators.graph import MAX_DEPTH, NEIGHBOUR_CAP
 from corpusloom.operators.links import STRUCTURAL, normalize, stem
+from corpusloom.operators.matching import held_names
 from corpusloom.operators.model import LINK_TYPES
 from corpusloom.sources.staging import staged
 
@@ -82,12 +83,12 @@ def gated(proposed: DataFrame, known: DataFrame, spans: DataFrame) -> DataFrame:
 def mentions(concepts: DataFrame, spans: DataFrame, *, least: int = MENTION) -> DataFrame:
     """Spans that mention a concept by name, letters and digits alone: concept, span_id.
 
-    Names and texts meet on the first letters of a name; only the spans that hold these are compared whole, by their id.
+    Names and texts meet as wholes (held_names). Only names are ever sent to all tasks, and these only where they are few: the texts, small as files where
+    they repeat, are large in memory.
     """
-    names = concepts.select(F.col("name").alias("concept"), normalize(F.col("name")).alias("n")).where(F.length("n") >= least).distinct().withColumn("g", F.substring("n", 1, least))
-    flat = staged(spans.select(F.col("id").alias("span_id"), normalize(F.col("text")).alias("hay")).where(F.length("hay") >= least), "normalised")
-    grams = flat.select("span_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - least + 1), lambda i: F.substring("hay", i, F.lit(least))))).alias("g"))
-    return grams.join(names, "g").join(flat, "span_id").where(F.contains("hay", F.col("n"))).select("concept", "span_id").distinct()
+    named = concepts.select(F.col("name").alias("concept"), normalize(F.col("name")).alias("name"))
+    flat = staged(spans.select(F.col("id").alias("key"), normalize(F.col("text")).alias("hay")).where(F.length("hay") >= least), "normalised")
+    return held_names(named, flat, least=least).select("concept", F.col("key").alias("span_id")).distinct()
 
 
 # -- changes

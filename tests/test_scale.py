@@ -96,3 +96,22 @@ def test_narrowing_does_not_pair_names_of_one_beginning(spark):
     assert F.contains is contains and seen.value < 3000
     want = {f"Blue Ring {i}z": "exact_name" for i in range(300)} | {f"Blue Ring {i}z": "alias" for i in range(300, 350)} | {"Blue Ring 399z": "graph_neighbour"}
     assert got == want
+
+
+def test_mentions_send_no_texts_to_all_tasks(spark):
+    """Texts that repeat are small as files, so that their size there says nothing of what they take in memory."""
+    from corpusloom.operators import relations as R
+
+    spans = spark.range(3000).selectExpr("id", "'the ' || CASE WHEN id % 2 = 0 THEN 'Union-Find' ELSE 'Hash map' END || ' and more' AS text")
+    concepts = spark.createDataFrame([("union find",), ("UNION FIND",), ("Hash Map",), ("map",), ("more or less",), (None,)], "name string")
+    df = R.mentions(concepts, spans)
+    got = df.collect()
+    assert len(got) == 4500 and {(r.concept, r.span_id % 2) for r in got} == {("union find", 0), ("UNION FIND", 0), ("Hash Map", 1)}
+    todo, sent = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        if kind == "BroadcastExchangeExec":
+            sent.append(p.metrics().apply("numOutputRows").value())
+    assert sent and max(sent) < 10
