@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.search import B, IDF_FLOOR, K1, Index, best_span, filtered_search, query_phrases, span_filter, title_boost, top_k, write_index
-from corpusloom.operators.vectors import compare_runs, cosine_of, cosine_to, hybrid_minmax, hybrid_product, ranked, score_queries, semantic_only, summarize
-from corpusloom.sources.staging import shared_folder
+from corpusloom.operators.vectors import compare_runs, cosine_to, hybrid_minmax, hybrid_product, nearest, score_labelled, semantic_only, summarize
+from corpusloom.sources.staging import shared_folder, staged
 from corpusloom.sources.tables import table
 
 OR_QUERY = "the erin que auf"
@@ -139,13 +139,10 @@ def hybrid_minmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(top_k(hybrid_minmax(_lexical(spark, sf_dir), _cos(spark, sf_dir), WEIGHT), LIMIT))
 
 
-def _scored(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, dims: tuple[int | None, ...] = (None,)) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    used = vectors if dims is None else vectors.withColumn("embedding", F.slice("embedding", 1, dims))
-    ranking = ranked(cosine_of(used, F.pmod("vec_id", F.lit(EVAL_EVERY)) == 0), LIMIT)
-    asked = vectors.where(F.pmod("vec_id", F.lit(EVAL_EVERY)) == 0).select(F.col("vec_id").alias("query_id"), "label")
-    relevant = vectors.select("vec_id", "label").join(asked, "label").where("vec_id <> query_id").select("query_id", "vec_id")
-    return score_queries(ranking, relevant).join(asked, "query_id")
+    ranking = staged(nearest(vectors, F.pmod("vec_id", F.lit(EVAL_EVERY)) == 0, LIMIT, dims=dims), "ranking")
+    return score_labelled(ranking, vectors.select("vec_id", "label"), "dims")
 
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,13 +152,13 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_runs(summarize(_scored(spark, sf_dir, 8)), summarize(_scored(spark, sf_dir)))
+    scored = staged(_scored(spark, sf_dir, (8, None)), "scored")
+    return compare_runs(summarize(scored.where("dims = 8")), summarize(scored.where("dims IS NULL")))
 
 
 def dimension_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same queries by the first so many dimensions."""
-    parts = [summarize(_scored(spark, sf_dir, n)).withColumn("dimensions", F.lit(n)) for n in SWEEP]
-    return reduce(DataFrame.unionByName, parts)
+    return summarize(_scored(spark, sf_dir, SWEEP), "dims").withColumnRenamed("dims", "dimensions")
 
 
 def bm25_sql(query: str, mode: str = "or", prefix: bool = False) -> str:

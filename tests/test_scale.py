@@ -115,3 +115,41 @@ def test_mentions_send_no_texts_to_all_tasks(spark):
         if kind == "BroadcastExchangeExec":
             sent.append(p.metrics().apply("numOutputRows").value())
     assert sent and max(sent) < 10
+
+
+def test_nearest_equals_all_pairs_on_hard_rows(spark):
+    from corpusloom.operators.vectors import cosine_of, nearest, ranked
+
+    r = random.Random(8)
+    vectors = [[r.choice([-1.0, 0.5, 0.1, 0.3, 2.0]) for _ in range(6)] for _ in range(60)]
+    vectors += [[0.1, 0.2, 0.3, 0.4, 0.5, 0.6]] * 40 + [[x * 3 for x in vectors[5]], None, [], [0.0] * 6, [None, 1.0, 1.0, 1.0, 1.0, 1.0], [1.0, 1.0, 1.0, 1.0, 1.0, None], [1.0] * 4, [1.0] * 9]
+    vectors += [[float("nan")] * 6, [float("inf"), 1.0, 1.0, 1.0, 1.0, 1.0], [1e-200] * 6, [1e200] * 6]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>").repartition(3)
+    asked = F.pmod("vec_id", F.lit(3)) == 0
+    got = {}
+    for x in nearest(df, asked, 7, dims=(2, 4, None)).collect():
+        got.setdefault(x.dims, set()).add((x.query_id, x.vec_id, str(x.cos).replace("-0.0", "0.0") if x.cos == 0 else str(x.cos), x["rank"]))
+    for d in (2, 4, None):
+        used = df if d is None else df.withColumn("embedding", F.slice("embedding", 1, d))
+        want = {(x.query_id, x.vec_id, str(x.cos).replace("-0.0", "0.0") if x.cos == 0 else str(x.cos), x["rank"]) for x in ranked(cosine_of(used, asked), 7).collect()}
+        assert got[d] == want
+
+
+@pytest.mark.parametrize("name", ["dimension_sweep", "metrics_compare", "retrieval_metrics"])
+def test_retrieval_makes_no_row_for_each_pair(spark, tmp_path, name):
+    """Copies of vectors, and labels that one row or none has; no join pairs queries with rows."""
+    import duckdb
+    from compare import same
+
+    from corpusloom.plans.registry import ORACLES, QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    n = rows.count()
+    lonely = rows.limit(1).selectExpr("100020L AS vec_id", "embedding", "77 AS label").union(rows.limit(1).selectExpr("100040L AS vec_id", "embedding", "CAST(NULL AS INT) AS label"))
+    rows.union(rows.withColumn("vec_id", F.col("vec_id") + 3 * n)).union(lonely).coalesce(1).write.parquet(str(tmp_path / "e"))
+    next((tmp_path / "e").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() or name == "metrics_compare"
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    same(df, con, ORACLES[name])
